@@ -31,10 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import tune
-from .units import UnitCache
+from .units import UnitCache, blocks
 
-#: Characters of text that a block gathers.
-BLOCK_CHARS = 8_000_000
 #: Matches of the pattern whose ids a worker keeps; others are replayed again.
 MOST_KNOWN = 400_000
 
@@ -164,23 +162,6 @@ def encoder(path: str, pattern: str) -> tuple[MergeReplay, UnitCache]:
     return _REPLAYS[path, pattern]
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of some documents at a time."""
-    docs: list = []
-    texts: list[str] = []
-    size = 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            docs.append(doc)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size >= BLOCK_CHARS:
-                yield docs, texts
-                docs, texts, size = [], [], 0
-    if docs:
-        yield docs, texts
-
-
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every whole text, decode its ids, and give a digest of either: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     tune(docs.sparkSession)
@@ -190,8 +171,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         decimal = [str(i) for i in range(len(replay.bytes_of))]
         for doc_ids, texts in blocks(batches):
             counts, coded, decoded = [], [], []
-            for data in cache.encode(texts):
-                ids = array("I", data).tolist()
+            flat, at = cache.encode(texts)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids = flat[a:b].tolist()
                 counts.append(len(ids))
                 coded.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(replay.decode(ids)).hexdigest())

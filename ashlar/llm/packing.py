@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .units import hf_encoder
+from .units import blocks, hf_encoder
 
 CAPACITY = 2048
 #: A bin with at most so many free places is final.
@@ -77,11 +77,11 @@ def _encode_and_pack(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = hf_encoder(path)
         rows: list[list] = [[], [], [], [], []]
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for doc, data in zip(ids, encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                data += end
-                for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
+        for docs, texts in blocks(batches):
+            ids, at = encoder.encode(texts)
+            for doc, a, b in zip(docs, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                data = ids[a:b].tobytes() + end
+                for k, (start, length) in enumerate(cut(b - a + 1, capacity)):
                     for to, x in zip(rows, (doc, k, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])), strict=True):
                         to.append(x)
         bins, offsets = best_fit(np.array(rows[3], dtype=np.int64), capacity)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import lang_kernel, merge_replay, packing, token_store
 
 
 def tokenizer(name: str) -> str:
@@ -24,13 +24,25 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return merge_replay.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op9_lang_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_kernel.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op5_merge_replay": op5_merge_replay,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_lang_kernel": op9_lang_kernel,
 }
 
 ORACLES: dict[str, str] = {}

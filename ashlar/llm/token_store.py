@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .units import hf_encoder
+from .units import blocks, hf_encoder
 
 MAGIC = b"ASHTOK01"
 SAMPLE = 64
@@ -156,12 +156,13 @@ def _blocks(path: str, end_id: int, width: int):
             size = 0
             return out
 
-        for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+        for some, texts in blocks(batches):
+            flat, at = encoder.encode(texts)
+            for doc, a, b in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True):
                 docs.append(doc)
-                ids.append(data + end)
-                size += len(data) + 4
-                if size * width // 4 >= BLOCK_BYTES:
+                ids.append(flat[a:b].tobytes() + end)
+                size += (b - a + 1) * width
+                if size >= BLOCK_BYTES:
                     yield full()
         if docs:
             yield full()

@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class UnitCache:
-    """Ids of whole texts as little-endian unsigned 32-bit integers.
+    """Ids of whole texts, as unsigned 32-bit integers.
 
-    ``encode_many`` turns any strings into such ids. ``encode_units`` does so for
+    ``encode_many`` turns any strings into such ids' little-endian bytes. ``encode_units`` does so for
     strings that start with a space and can't be cut, of which there are many.
     At most ``most`` parts are kept between calls, and none longer than
     ``longest`` characters; a part that is not kept is encoded again, so the
@@ -38,36 +40,76 @@ class UnitCache:
         self.most, self.longest = most, longest
         self.kept: dict[str, bytes] = {}  # by the part without its space
 
-    def _known(self, words: set[str]) -> tuple[dict[str, bytes], set[str]]:
-        """Ids for ``words``, and those that begin or end with white space, where a cut is no cut."""
+    def _ids(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of distinct parts, and the places of those that begin or end with white space, where a cut is no cut."""
         kept = self.kept
-        new = words.difference(kept)
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        new = list(new - odd)
+        out = list(map(kept.get, words))
+        new = [k for k, x in enumerate(out) if x is None]
+        odd = [k for k in new if not (w := words[k]) or w[0].isspace() or w[-1].isspace()]
+        if odd:
+            new = sorted(set(new).difference(odd))
+            for k in odd:
+                out[k] = b""
+        ids = self.encode_units([" " + words[k] for k in new])
+        for k, x in zip(new, ids, strict=True):
+            out[k] = x
         if len(kept) + len(new) > self.most:
-            kept = self.kept = {w: kept[w] for w in words if w in kept}
-        ids = dict(zip(new, self.encode_units([" " + w for w in new]), strict=True))
-        long = [w for w in new if len(w) > self.longest] if len(kept) + len(new) <= self.most else new
-        if not long:
-            kept.update(ids)
-            return kept, odd
-        both = kept | ids
-        for w in long:
-            del ids[w]
-        kept.update(ids)
-        return both, odd
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        ids, odd = self._known(set().union(*(s[1:] for s in split)))
-        whole = self.encode_many([s[0] for s in split])
-        out: list[bytes] = []
-        for k, words in enumerate(split):
-            if words[0][-1:].isspace() or odd and not odd.isdisjoint(words[1:]):
-                out.append(b"".join(self.encode_many(_CUT.split(texts[k]))))
-            else:
-                out.append(whole[k] + b"".join(map(ids.__getitem__, words[1:])))
-        return out
+            self.kept = kept = {}
+        if len(new) <= self.most:
+            kept.update((w, x) for k, x in zip(new, ids, strict=True) if len(w := words[k]) <= self.longest)
+        return out, odd
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and where each text's begin, with the end of the last. A null is an empty text."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        units = coded.indices.to_numpy().astype(np.int64)
+        at = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        heads, words = coded.take(pa.array(at[:-1])).to_pylist(), coded.dictionary.to_pylist()
+        ids, odd = self._ids(words)
+        units[at[:-1]] = len(words) + np.arange(len(heads))  # the first part has no space before it
+        slow: dict[int, bytes] = {k: b"" for k, head in enumerate(heads) if head[-1:].isspace()}
+        if odd:
+            slow |= dict.fromkeys((np.searchsorted(at, np.flatnonzero(np.isin(units, odd)), "right") - 1).tolist(), b"")
+        ids += self.encode_many(["" if k in slow else head for k, head in enumerate(heads)])
+        for k in slow:
+            ids.append(b"".join(self.encode_many(_CUT.split(texts[k].as_py()))))
+            units[at[k]] = len(ids) - 1
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(counts) - counts
+        lengths = counts[units]
+        for k in slow:
+            lengths[at[k] + 1 : at[k + 1]] = 0
+        ends = np.cumsum(lengths)
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        places = np.repeat(starts[units] - ends + lengths, lengths)
+        places += np.arange(len(places))
+        return flat[places], np.concatenate(([0], ends[at[1:] - 1]))
+
+
+#: Bytes of text that a block gathers.
+BLOCK_BYTES = 8_000_000
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """doc_ids and texts, the first two columns, of some documents at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= BLOCK_BYTES:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[list[int | None], pa.Array]:
+    return pa.concat_arrays([b.column(0) for b in held]).to_pylist(), pa.concat_arrays([b.column(1) for b in held])
 
 
 _ENCODERS: dict[str, UnitCache] = {}
