@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_kernel, merge_replay, packing, token_store
+from . import lang_kernel, merge_replay, packing, syncmers, token_store, url_rules
 
 
 def tokenizer(name: str) -> str:
@@ -24,6 +24,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.production_rules())
+
+
 def op5_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,11 +42,17 @@ def op9_lang_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_kernel.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op4_url_rules": op4_url_rules,
     "op5_merge_replay": op5_merge_replay,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_lang_kernel": op9_lang_kernel,
+    "op10_syncmers": op10_syncmers,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_rules": url_rules.oracle()}
