@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_kernel, merge_replay, packing, syncmers, token_store, url_rules
+from . import lang_kernel, merge_replay, near_dedup, packing, syncmers, token_store, url_rules
 
 
 def tokenizer(name: str) -> str:
@@ -24,6 +24,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.production_rules())
 
@@ -48,6 +52,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op3_near_dedup": op3_near_dedup,
     "op4_url_rules": op4_url_rules,
     "op5_merge_replay": op5_merge_replay,
     "op8_best_fit_packing": op8_best_fit_packing,
