@@ -51,9 +51,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the fingerprint of a text column that isn't null, as an array of long."""
     df = df.withColumn("__words", F.transform(F.array_remove(F.split(F.col(text), r"\s+"), ""), lambda w: F.xxhash64(w)))
     df = df.withColumn("__anchors", F.array_distinct(anchors(F.col("__words")))).drop("__words")
-    last = F.element_at(F.sort_array("__anchors"), SIZE)
-    kept = F.when(F.size("__anchors") <= SIZE, F.col("__anchors")).otherwise(F.filter("__anchors", lambda x: x <= F.col("__last")))
-    return df.withColumn("__last", F.when(F.size("__anchors") > SIZE, last)).withColumn(out, kept).drop("__anchors", "__last")
+    least = F.slice(F.sort_array("__anchors"), 1, SIZE)
+    return df.withColumn(out, F.array_intersect("__anchors", least)).drop("__anchors")  # in the order of the first
 
 
 def as_text(prints: Column) -> Column:
@@ -64,11 +63,9 @@ def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """``df`` with the likeness, from 0 to 1, of two columns of fingerprints."""
     both = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
     df = df.withColumn("__both", both)
-    last = F.element_at("__both", -1)
-    df = df.withColumn("__last", F.when(F.size("__both") > 0, last))
-    shared = lambda x, y: F.filter(F.array_intersect(x, y), lambda v: v <= F.col("__last"))
+    shared = lambda x, y: F.array_intersect(F.array_intersect(x, y), F.col("__both"))
     same = F.size(F.array_compact(F.zip_with(shared(a, b), shared(b, a), lambda x, y: F.when(x == y, x))))
-    return df.withColumn(out, F.when(F.size("__both") == 0, 1.0).otherwise(same / F.size("__both"))).drop("__both", "__last")
+    return df.withColumn(out, F.when(F.size("__both") == 0, 1.0).otherwise(same / F.size("__both"))).drop("__both")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
