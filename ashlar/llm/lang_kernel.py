@@ -182,11 +182,12 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, MATRIX_ROWS):
                 part = batch.slice(at, MATRIX_ROWS)
-                langs, scores = shared.value.predict(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                langs, scores = shared.value.predict(part.column(read).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(c) for c in keep])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
+    read = "text" if "text" in keep else "__text"
+    rows = docs.withColumn(read, F.col("text").cast("string")).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, read])])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
     return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 

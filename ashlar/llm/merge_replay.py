@@ -26,12 +26,13 @@ import heapq
 from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import tune
-from .units import UnitCache, blocks
+from .units import Kept, UnitCache, blocks
 
 #: Matches of the pattern whose ids a worker keeps; others are replayed again.
 MOST_KNOWN = 400_000
@@ -57,23 +58,29 @@ class MergeReplay:
             for i in range(1, len(token)):
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                     self.pairs[a << 32 | b] = rank
-        self.known: dict[str, bytes] = {}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.known = Kept(MOST_KNOWN, 64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        self.first_rank = np.array([[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)])
 
     def replay(self, words: Sequence[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        tokens: list[int] = []
-        starts: list[int] = []
-        for word in words:
-            starts.append(len(tokens))
-            tokens += map(self.single.__getitem__, word)
-            tokens.append(-1)  # between words: in no pair
-        n, pairs = len(tokens), self.pairs
+        """The ids of each word; a word has at least one byte."""
+        joined = np.frombuffer(b"\0".join(words) + b"\0", dtype=np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(lengths) - 1
+        starts = (ends + 1 - lengths).tolist()
+        singles = self.single[joined]
+        singles[ends] = -1  # between words: in no pair
+        first = np.full(len(joined), -1)
+        first[:-1] = self.first_rank[joined[:-1], joined[1:]]
+        first[ends] = -1
+        first[ends - 1] = -1
+        n, pairs = len(joined), self.pairs
+        tokens = singles.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for p in range(n - 1):
-            if (rank := pairs.get(tokens[p] << 32 | tokens[p + 1])) is not None:
-                index.setdefault(rank, []).append(p)
+        places = np.flatnonzero(first >= 0)
+        places = places[np.argsort(first[places], kind="stable")]
+        ranks, cuts = np.unique(first[places], return_index=True)
+        index: dict[int, list[int]] = {r: p.tolist() for r, p in zip(ranks.tolist(), np.split(places, cuts[1:]), strict=True)} if len(ranks) else {}
         heap = list(index)
         heapq.heapify(heap)
 
@@ -130,18 +137,20 @@ class MergeReplay:
         gc.disable()  # there are many small lists, and no cycles
         try:
             matches = [self.find(part) for part in parts]
-            found = set().union(*matches)
-            new = list(found.difference(self.known))
-            if len(self.known) + len(new) > MOST_KNOWN:
-                self.known = {m: self.known[m] for m in found if m in self.known}
-            ranks = [self.ranks.get(m.encode()) for m in new]
-            missing = [m for m, rank in zip(new, ranks, strict=True) if rank is None]
-            ids = {m: array("I", (rank,)).tobytes() for m, rank in zip(new, ranks, strict=True) if rank is not None}
-            ids.update(zip(missing, (array("I", x).tobytes() for x in self.replay([m.encode() for m in missing])), strict=True))
-            if len(self.known) + len(ids) <= MOST_KNOWN:
-                self.known.update((m, x) for m, x in ids.items() if len(m) <= 64)
-            rest = {m: x for m, x in ids.items() if m not in self.known}
-            ids = self.known | rest if rest else self.known
+            found = list(set().union(*matches))
+            coded = self.known.get_many(found)
+            new = [k for k, x in enumerate(coded) if x is None]
+            encoded = [found[k].encode() for k in new]
+            missing = []
+            for k, data in zip(new, encoded, strict=True):
+                if (rank := self.ranks.get(data)) is None:
+                    missing.append(k)
+                else:
+                    coded[k] = array("I", (rank,)).tobytes()
+            for k, x in zip(missing, self.replay([found[k].encode() for k in missing]), strict=True):
+                coded[k] = array("I", x).tobytes()
+            self.known.put_many([found[k] for k in new], [coded[k] for k in new])
+            ids = dict(zip(found, coded, strict=True))
             return [b"".join(map(ids.__getitem__, m)) for m in matches]
         finally:
             if collecting:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_kernel, merge_replay, near_dedup, packing, syncmers, token_store, url_rules
+from . import lang_kernel, merge_replay, near_dedup, packing, pii, syncmers, token_store, url_rules
 
 
 def tokenizer(name: str) -> str:
@@ -38,6 +38,15 @@ def op5_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_replay.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Of the registered query and the pipeline. Whoever publishes results keeps a key of their own.
+PII_KEY = "public demonstration key"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.pseudonymize(docs.select("doc_id", "text"), PII_KEY).select("doc_id", "text", "n_entities", "entities")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
@@ -55,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_url_rules": op4_url_rules,
     "op5_merge_replay": op5_merge_replay,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_lang_kernel": op9_lang_kernel,
     "op10_syncmers": op10_syncmers,

@@ -19,14 +19,42 @@ import pyarrow.compute as pc
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+class Kept:
+    """What a worker keeps of strings' ids: at most ``most``, none longer than ``longest``, those used of late.
+
+    It has two halves. A string found in the older one moves to the younger; when
+    that is full, it becomes the older one. What has gone is made again, so the
+    bounds change no result.
+    """
+
+    def __init__(self, most: int, longest: int):
+        self.half, self.longest = most // 2, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get_many(self, keys: list[str]) -> list[bytes | None]:
+        out = list(map(self.young.get, keys))
+        if self.old:
+            get, put = self.old.get, self.young.__setitem__
+            for k, x in enumerate(out):
+                if x is None and (found := get(keys[k])) is not None:
+                    out[k] = found
+                    put(keys[k], found)
+        return out
+
+    def put_many(self, keys: list[str], values: Sequence[bytes]) -> None:
+        if len(self.young) + len(keys) > self.half:
+            self.old, self.young = self.young, {}
+        if len(keys) <= self.half:
+            self.young.update((k, x) for k, x in zip(keys, values, strict=True) if len(k) <= self.longest)
+
+
 class UnitCache:
     """Ids of whole texts, as unsigned 32-bit integers.
 
     ``encode_many`` turns any strings into such ids' little-endian bytes. ``encode_units`` does so for
     strings that start with a space and can't be cut, of which there are many.
-    At most ``most`` parts are kept between calls, and none longer than
-    ``longest`` characters; a part that is not kept is encoded again, so the
-    bounds change no result.
+    ``most`` and ``longest`` bound the parts kept between calls.
     """
 
     def __init__(
@@ -37,13 +65,11 @@ class UnitCache:
         longest: int = 64,
     ):
         self.encode_many, self.encode_units = encode_many, encode_units or encode_many
-        self.most, self.longest = most, longest
-        self.kept: dict[str, bytes] = {}  # by the part without its space
+        self.kept = Kept(most, longest)  # by the part without its space
 
     def _ids(self, words: list[str]) -> tuple[list[bytes], list[int]]:
         """Ids of distinct parts, and the places of those that begin or end with white space, where a cut is no cut."""
-        kept = self.kept
-        out = list(map(kept.get, words))
+        out = self.kept.get_many(words)
         new = [k for k, x in enumerate(out) if x is None]
         odd = [k for k in new if not (w := words[k]) or w[0].isspace() or w[-1].isspace()]
         if odd:
@@ -53,10 +79,7 @@ class UnitCache:
         ids = self.encode_units([" " + words[k] for k in new])
         for k, x in zip(new, ids, strict=True):
             out[k] = x
-        if len(kept) + len(new) > self.most:
-            self.kept = kept = {}
-        if len(new) <= self.most:
-            kept.update((w, x) for k, x in zip(new, ids, strict=True) if len(w := words[k]) <= self.longest)
+        self.kept.put_many([words[k] for k in new], ids)
         return out, odd
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
