@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_kernel, merge_replay, near_dedup, packing, pii, syncmers, token_store, url_rules
+from . import lang_kernel, merge_replay, near_dedup, packing, pii, pseudo_lm, syncmers, token_store, url_rules
 
 
 def tokenizer(name: str) -> str:
@@ -38,6 +38,10 @@ def op5_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_replay.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 #: Of the registered query and the pipeline. Whoever publishes results keeps a key of their own.
 PII_KEY = "public demonstration key"
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_url_rules": op4_url_rules,
     "op5_merge_replay": op5_merge_replay,
+    "op6_pseudo_likelihood": op6_pseudo_likelihood,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_lang_kernel": op9_lang_kernel,
