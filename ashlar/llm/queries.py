@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lang_kernel, merge_replay, near_dedup, packing, pii, pseudo_lm, syncmers, token_store, url_rules
+from . import ann, lang_kernel, merge_replay, near_dedup, packing, pii, pseudo_lm, syncmers, token_store, url_rules
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
@@ -64,6 +69,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_token_store": op2_token_store,
     "op3_near_dedup": op3_near_dedup,
     "op4_url_rules": op4_url_rules,
