@@ -108,8 +108,8 @@ _ENTRIES: dict[str, tuple[Query, str | None]] = {
     "edge_stats": (lambda t: graph.edge_stats(t.edges), "SELECT type, CAST(sum(n) AS BIGINT) AS edges, count(*) AS pairs FROM (SELECT type, src, dst, count(*) AS n FROM v_edges GROUP BY ALL) GROUP BY type"),
     "symbol_stats": (lambda t: graph.symbol_stats(t.symbols), "SELECT CASE kind WHEN 0 THEN 'class' WHEN 1 THEN 'method' ELSE 'field' END AS kind, count(*) AS symbols, count(DISTINCT cls_dex) AS owners FROM v_symbols GROUP BY kind"),
     "first_symbols": (
-        lambda t: graph.first_symbols(t.read("lineitem").select(F.concat(F.lit("S/"), "l_suppkey").alias("dex_id"), F.col("l_shipdate").cast("string").alias("display"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))),
-        "SELECT 'S/' || l_suppkey AS dex_id, strftime(arg_min(l_shipdate, l_orderkey * 100 + l_linenumber), '%Y-%m-%d %H:%M:%S') AS display FROM lineitem GROUP BY l_suppkey",
+        lambda t: graph.first_symbols(t.read("lineitem").select(F.concat(F.lit("S/"), "l_suppkey").alias("dex_id"), F.col("l_shipdate").cast("string").alias("display"), F.struct("l_orderkey", "l_linenumber", "l_shipdate").alias("seq"))),
+        "SELECT 'S/' || l_suppkey AS dex_id, strftime(first(l_shipdate ORDER BY l_orderkey, l_linenumber, l_shipdate), '%Y-%m-%d %H:%M:%S') AS display FROM lineitem GROUP BY l_suppkey",
     ),
     "usage_export": (
         lambda t: graph.export_usage(t.read("customer").groupBy(F.concat(F.lit("N/"), "c_nationkey").alias("node")).agg(F.collect_list(F.concat(F.lit("C/"), "c_custkey")).alias("users")), USES_CLASS),

@@ -68,17 +68,21 @@ class Index:
         """Phase three: literals and postings of all files not read yet. Returns the rows that were new."""
         stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(bodies_path)
 
+        new: list[int] = []
+
         def write(batch: DataFrame, number: int) -> None:
             # A batch that is run again writes its own folder again: each row is there once.
+            batch = batch.persist()
+            new.append(batch.count())
             batch.select("cls_idx", "fqn", "pkg").write.mode("overwrite").parquet(f"{self.folder}/indexed/batch={number}")
             const_strings(batch).write.mode("overwrite").parquet(f"{self.folder}/const_strings/batch={number}")
             postings(batch).write.mode("overwrite").parquet(f"{self.folder}/postings/batch={number}")
+            batch.unpersist()
 
         query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{self.folder}/_checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-        rows = sum(p.numInputRows for p in query.recentProgress)
         self.mark(coverage_complete="true", schema_version=str(SCHEMA_VERSION))
-        return rows
+        return sum(new)
 
     def status(self, total: int) -> DataFrame:
         """One row, counted from the tables themselves."""
