@@ -12,7 +12,7 @@ since the last round, are candidates for one another, and a vertex keeps the bes
 NEIGHBOURS. Rounds end when few edges change.
 
 Search: a beam of the best BEAM vertices for each query, from the query's own
-vertex if it has one, or else from the nearest of a fixed number of entries. The
+vertex if it has one and from the nearest of a fixed number of entries. The
 best vertices not yet expanded are joined with the graph, their neighbours are
 scored, and the beam keeps the best, until all in it are expanded. The rows
 behind the vertices found are ranked by the exact product of the original
@@ -165,10 +165,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(scratch: Scratch, points: DataFrame, dims: int) -> DataFrame:
     """Edges ``node``, ``nbr``, ``sim`` of each vertex' NEIGHBOURS best found. ``points``: ``node`` and ``x``, its bytes as half floats."""
     n = _shuffles(points)
+    parts = max(1, min(n, points.count() // ORDER_BLOCK))
     first = []
     for number in range(ORDERS):
         ordered = scratch.keep(points.mapInArrow(_order(dims, number), "node long, x binary, code int, at float"), f"order{number}")
-        dealt = ordered.repartitionByRange(n, "code", "at", "node").sortWithinPartitions("code", "at", "node")
+        dealt = ordered.repartitionByRange(parts, "code", "at", "node").sortWithinPartitions("code", "at", "node")
         first.append(scratch.keep(dealt.select("node", "x").mapInArrow(_best_of_blocks, _EDGES), f"first{number}"))
     found = first[0]
     for more in first[1:]:
@@ -215,19 +216,17 @@ def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataF
     vectors = points.select("node", F.col("x").alias("xn"))
     asked = queries.select("query", F.col("x").alias("xq"))
 
-    strangers = queries.where("own IS NULL")
-    start = queries.where("own IS NOT NULL").select("query", F.col("own").alias("node"))
-    if not strangers.isEmpty():
-        entries = points.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
-        ids, x = np.array([r.node for r in entries]), np.stack([np.frombuffer(r.x, "<f2") for r in entries]).astype(np.float32)
+    entries = points.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
+    ids, x = np.array([r.node for r in entries]), np.stack([np.frombuffer(r.x, "<f2") for r in entries]).astype(np.float32)
 
-        def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    best = np.argsort(-(_matrix(batch.column(1)).astype(np.float32) @ x.T), axis=1, kind="stable")[:, :WIDTH]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), best.shape[1])), pa.array(ids[best].ravel())], names=["query", "node"])
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                best = np.argsort(-(_matrix(batch.column(1)).astype(np.float32) @ x.T), axis=1, kind="stable")[:, :WIDTH]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), best.shape[1])), pa.array(ids[best].ravel())], names=["query", "node"])
 
-        start = start.unionByName(strangers.select("query", "x").mapInArrow(enter, "query long, node long"))
+    start = queries.where("own IS NOT NULL").select("query", F.col("own").alias("node"))
+    start = start.unionByName(queries.select("query", "x").mapInArrow(enter, "query long, node long")).distinct()
 
     def scored(pairs: DataFrame) -> DataFrame:
         rows = pairs.join(vectors, "node").join(asked, "query").select("query", "node", "xq", "xn")

@@ -61,7 +61,7 @@ class UnitCache:
         self,
         encode_many: Callable[[Sequence[str]], list[bytes]],
         encode_units: Callable[[Sequence[str]], list[bytes]] | None = None,
-        most: int = 500_000,
+        most: int = 300_000,
         longest: int = 64,
     ):
         self.encode_many, self.encode_units = encode_many, encode_units or encode_many
@@ -114,7 +114,7 @@ class UnitCache:
 
 
 #: Bytes of text that a block gathers.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
