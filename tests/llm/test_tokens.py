@@ -130,7 +130,7 @@ def test_packing(spark, whole):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(8)
     rows = packing.pack(spark, docs, FILE).collect()
     by = check_packed(rows, {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}, whole, 2048)
-    assert len(by) <= -(-sum(r.length for r in rows) // 2048) + 1
+    assert len(by) <= -(-sum(r.length for r in rows) // 2048) + 8 // 2  # half a bin for each partition
 
 
 def test_packing_levels(spark, whole, monkeypatch):
