@@ -8,9 +8,9 @@ The lowest rank is taken, its merge is applied at every position still valid,
 and only the two pairs beside each merged position are looked up again.
 
 A merge may make a pair of lower rank, as any split of a token's bytes counts as
-a pair. Such pairs are merged before the next position of the current rank, and
-as words don't touch each other, this gives each word the order that merging it
-alone, lowest rank and leftmost first, has.
+a pair. The order of ranks over all words is then not that word's own, so words
+where this happens are noted and encoded alone, lowest rank and leftmost first.
+For all others, the two orders give the same, as words don't touch each other.
 
 Defined cases: a null text is the empty text, which has no ids, no bytes and the
 hash of nothing; repeated rows stay; an empty table gives no rows; other columns
@@ -35,7 +35,9 @@ from .scratch import tune
 from .units import Kept, UnitCache, blocks
 
 #: Matches of the pattern whose ids a worker keeps; others are replayed again.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 300_000
+#: Places from which on a merge is applied to all of them by array operations.
+FEW = 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,77 +60,119 @@ class MergeReplay:
             for i in range(1, len(token)):
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                     self.pairs[a << 32 | b] = rank
+        self.keys = np.array(sorted(self.pairs), dtype=np.int64)
+        self.merged = np.array([self.pairs[k] for k in self.keys.tolist()], dtype=np.int64)
         self.known = Kept(MOST_KNOWN, 64)
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         self.first_rank = np.array([[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)])
 
-    def replay(self, words: Sequence[bytes]) -> list[list[int]]:
-        """The ids of each word; a word has at least one byte."""
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or -1."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (right >= 0), self.merged[at], -1)
+
+    def alone(self, word: bytes) -> list[int]:
+        """One word: its lowest pair, leftmost first, again and again, by a heap of its own."""
+        ids = self.single[list(word)].tolist()
+        n, pairs = len(ids), self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_at = [pairs.get(a << 32 | b, -1) for a, b in zip(ids, ids[1:], strict=False)] + [-1]
+        heap = [(rank, p) for p, rank in enumerate(rank_at) if rank >= 0]
+        heapq.heapify(heap)
+        while heap:
+            rank, p = heapq.heappop(heap)
+            if rank_at[p] != rank:
+                continue
+            q = after[p]
+            ids[p], ids[q], rank_at[q] = rank, -1, -1
+            after[p] = r = after[q]
+            if r < n:
+                before[r] = p
+            for left, right in ((before[p], p), (p, r)):
+                if left >= 0:
+                    rank_at[left] = new = pairs.get(ids[left] << 32 | ids[right], -1) if right < n else -1
+                    if new >= 0:
+                        heapq.heappush(heap, (new, left))
+        return [i for i in ids if i >= 0]
+
+    def replay(self, words: Sequence[bytes]) -> list[bytes]:
+        """The ids of each word, as unsigned 32-bit integers; a word has at least one byte."""
+        if not words:
+            return []
         joined = np.frombuffer(b"\0".join(words) + b"\0", dtype=np.uint8)
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         ends = np.cumsum(lengths) - 1
-        starts = (ends + 1 - lengths).tolist()
-        singles = self.single[joined]
-        singles[ends] = -1  # between words: in no pair
-        first = np.full(len(joined), -1)
-        first[:-1] = self.first_rank[joined[:-1], joined[1:]]
-        first[ends] = -1
-        first[ends - 1] = -1
-        n, pairs = len(joined), self.pairs
-        tokens = singles.tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places = np.flatnonzero(first >= 0)
-        places = places[np.argsort(first[places], kind="stable")]
-        ranks, cuts = np.unique(first[places], return_index=True)
+        starts = ends + 1 - lengths
+        n = len(joined)
+        tokens = np.append(self.single[joined], -1).astype(np.int32)  # one more: what a link past the end leads to
+        tokens[ends] = -1  # between words: in no pair
+        now = np.full(n + 1, -1, dtype=np.int32)  # the rank of the pair that begins there
+        now[: n - 1] = self.first_rank[joined[:-1], joined[1:]]
+        now[ends] = -1
+        now[ends - 1] = -1
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        places = np.flatnonzero(now >= 0)
+        places = places[np.argsort(now[places], kind="stable")]
+        ranks, cuts = np.unique(now[places], return_index=True)
         index: dict[int, list[int]] = {r: p.tolist() for r, p in zip(ranks.tolist(), np.split(places, cuts[1:]), strict=True)} if len(ranks) else {}
         heap = list(index)
         heapq.heapify(heap)
-
-        def drain(limit: float) -> None:
-            """Merge all pairs of a rank below the limit."""
-            while heap and heap[0] < limit:
-                rank = heapq.heappop(heap)
-                places = index.pop(rank, None)
-                if places is None:
-                    continue
-                places.sort()
-                k = 0
-                while k < len(places):
-                    p = places[k]
-                    k += 1
-                    q = after[p]
-                    if tokens[p] < 0 or q >= n or pairs.get(tokens[p] << 32 | tokens[q]) != rank:
-                        continue
-                    tokens[p], tokens[q] = rank, -2  # -2: taken in
-                    after[p] = r = after[q]
-                    before[r] = p
-                    lower = False
+        odd: list[int] = []  # places of words where a merge made a pair of lower rank
+        token, rank_at, next_, last, pairs = memoryview(tokens), memoryview(now), memoryview(after), memoryview(before), self.pairs
+
+        def file(places: list[int], ranks: list[int], limit: int) -> None:
+            for p, rank in zip(places, ranks, strict=True):
+                if rank >= 0:
+                    if rank < limit:
+                        odd.append(p)
+                    if rank in index:
+                        index[rank].append(p)
+                    else:
+                        index[rank] = [p]
+                        heapq.heappush(heap, rank)
+
+        while heap:
+            rank = heapq.heappop(heap)
+            found = index.pop(rank, None)
+            if found is None:
+                continue
+            if len(found) >= FEW:
+                p = np.unique(np.array(found, dtype=np.int32))
+                p = p[now[p] == rank]
+                q = after[p]
+                if not (q[:-1] == p[1:]).any():  # no place in two pairs
+                    r = after[q]
+                    tokens[p], tokens[q], now[q] = rank, -2, -1
+                    after[p], before[r] = r, p
                     left = before[p]
-                    if left >= 0 and (new := pairs.get(tokens[left] << 32 | rank)) is not None:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(heap, new)
-                        index[new].append(left)
-                        lower = new < rank
-                    if (new := pairs.get(rank << 32 | tokens[r])) is not None:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(heap, new)
-                        index[new].append(p)
-                        lower = lower or new < rank
-                    if lower:
-                        drain(rank)
-                        if more := index.pop(rank, None):
-                            places, k = sorted(places[k:] + more), 0
-
-        drain(float("inf"))
-        out = []
-        for p in starts:
-            ids = []
-            while tokens[p] >= 0:
-                ids.append(tokens[p])
-                p = after[p]
-            out.append(ids)
+                    right_rank, left_rank = self._ranks(tokens[p], tokens[r]), self._ranks(tokens[left], tokens[p])
+                    left_rank[tokens[left] < 0] = -1
+                    now[left] = left_rank
+                    now[p] = right_rank
+                    file(left.tolist(), left_rank.tolist(), rank)
+                    file(p.tolist(), right_rank.tolist(), rank)
+                    continue
+            for p in sorted(found):
+                if rank_at[p] != rank:
+                    continue
+                q = next_[p]
+                r = next_[q]
+                token[p], token[q], rank_at[q] = rank, -2, -1
+                next_[p], last[r] = r, p
+                left = last[p]
+                near = (left, p)
+                made = [-1, -1]
+                if left >= 0 and (t := token[left]) >= 0:
+                    made[0] = rank_at[left] = pairs.get(t << 32 | rank, -1)
+                made[1] = rank_at[p] = pairs.get(rank << 32 | token[r], -1)
+                file(near, made, rank)
+        live = tokens[:n] >= 0
+        data = tokens[:n][live].astype("<u4").tobytes()
+        at = np.concatenate(([0], 4 * np.cumsum(np.add.reduceat(live, starts, dtype=np.int64)))).tolist()
+        out = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for k in set(np.searchsorted(starts, odd, "right").tolist()) if odd else ():
+            out[k - 1] = array("I", self.alone(words[k - 1])).tobytes()
         return out
 
     def encode_many(self, parts: Sequence[str]) -> list[bytes]:
@@ -148,7 +192,7 @@ class MergeReplay:
                 else:
                     coded[k] = array("I", (rank,)).tobytes()
             for k, x in zip(missing, self.replay([found[k].encode() for k in missing]), strict=True):
-                coded[k] = array("I", x).tobytes()
+                coded[k] = x
             self.known.put_many([found[k] for k in new], [coded[k] for k in new])
             ids = dict(zip(found, coded, strict=True))
             return [b"".join(map(ids.__getitem__, m)) for m in matches]
