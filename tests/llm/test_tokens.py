@@ -165,7 +165,18 @@ def test_a_merge_may_make_a_lower_pair():
     rng = random.Random(2)
     for _ in range(500):
         word = "".join(rng.choices("abcd", k=rng.randint(1, 14)))
-        assert replay.replay([word.encode()])[0] == own.encode_ordinary(word) or word.encode() in ranks
+        assert np.frombuffer(replay.replay([word.encode()])[0], "<u4").tolist() == own.encode_ordinary(word) or word.encode() in ranks
+
+
+def test_merges_by_array_and_one_by_one_are_the_same(monkeypatch):
+    replay, _ = merge_replay.encoder(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aaabeinrst", k=rng.randint(1, 15))).encode() for _ in range(3000)]
+    found = {}
+    for few in (1, 24, 10**9):
+        monkeypatch.setattr(merge_replay, "FEW", few)
+        found[few] = replay.replay(words)
+    assert found[1] == found[24] == found[10**9] == [np.array(replay.alone(w), dtype="<u4").tobytes() for w in words]
 
 
 def test_round_trip(spark, tik):
