@@ -20,7 +20,6 @@ are ignored.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 from array import array
@@ -177,28 +176,22 @@ class MergeReplay:
 
     def encode_many(self, parts: Sequence[str]) -> list[bytes]:
         """Ids of whole strings, by the pattern's matches; each distinct match that isn't known is replayed once."""
-        collecting = gc.isenabled()
-        gc.disable()  # there are many small lists, and no cycles
-        try:
-            matches = [self.find(part) for part in parts]
-            found = list(set().union(*matches))
-            coded = self.known.get_many(found)
-            new = [k for k, x in enumerate(coded) if x is None]
-            encoded = [found[k].encode() for k in new]
-            missing = []
-            for k, data in zip(new, encoded, strict=True):
-                if (rank := self.ranks.get(data)) is None:
-                    missing.append(k)
-                else:
-                    coded[k] = array("I", (rank,)).tobytes()
-            for k, x in zip(missing, self.replay([found[k].encode() for k in missing]), strict=True):
-                coded[k] = x
-            self.known.put_many([found[k] for k in new], [coded[k] for k in new])
-            ids = dict(zip(found, coded, strict=True))
-            return [b"".join(map(ids.__getitem__, m)) for m in matches]
-        finally:
-            if collecting:
-                gc.enable()
+        matches = [self.find(part) for part in parts]
+        found = list(set().union(*matches))
+        coded = self.known.get_many(found)
+        new = [k for k, x in enumerate(coded) if x is None]
+        encoded = [found[k].encode() for k in new]
+        missing = []
+        for k, data in zip(new, encoded, strict=True):
+            if (rank := self.ranks.get(data)) is None:
+                missing.append(k)
+            else:
+                coded[k] = array("I", (rank,)).tobytes()
+        for k, x in zip(missing, self.replay([found[k].encode() for k in missing]), strict=True):
+            coded[k] = x
+        self.known.put_many([found[k] for k in new], [coded[k] for k in new])
+        ids = dict(zip(found, coded, strict=True))
+        return [b"".join(map(ids.__getitem__, m)) for m in matches]
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
