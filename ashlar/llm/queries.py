@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_syncmers": op10_syncmers,
 }
 
-ORACLES: dict[str, str] = {"op4_url_rules": url_rules.oracle()}
+ORACLES: dict[str, str] = {"op3_near_dedup": near_dedup.oracle(3, 85), "op4_url_rules": url_rules.oracle()}
