@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.strings import STRING_RESOURCE, trim_controls
+from ..ship import ship
 
 NAME = "@*[name()='android:name']"
 MAIN = f"intent-filter[action/{NAME}='android.intent.action.MAIN' and category/{NAME}='android.intent.category.LAUNCHER']"
@@ -73,14 +74,20 @@ def slice_method(source: str | None, name: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def method_slice(source: pd.Series, name: pd.Series) -> pd.Series:
-    """Brace depth is beyond patterns, so this one runs in Python, on Arrow batches."""
+def _slices(source: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([slice_method(s, n) for s, n in zip(source, name, strict=True)], dtype=object)
 
 
+def with_method_slice(df: DataFrame, source: str, name: str, out: str) -> DataFrame:
+    """``df`` with the slice. Brace depth is beyond patterns, so this one runs in Python, on Arrow batches."""
+    ship(df.sparkSession)
+    return df.withColumn(out, _slices(F.col(source), F.col(name)))
+
+
 def methods_by_name(methods: DataFrame, bodies: DataFrame, cls: str, name: str, descriptor: str | None = None) -> DataFrame:
     """name, descriptor and code of the overloads; ``bodies`` has ``cls_dex`` and ``body``. All overloads get the first one's slice."""
     found = methods.where((F.col("cls_dex") == cls) & (F.col("name") == name))
     if descriptor is not None:
         found = found.where(F.col("descriptor") == descriptor)
-    return found.join(bodies.select("cls_dex", "body"), "cls_dex", "left").select("name", "descriptor", method_slice("body", "name").alias("code"))
+    both = found.join(bodies.select("cls_dex", "body"), "cls_dex", "left")
+    return with_method_slice(both, "body", "name", "code").select("name", "descriptor", "code")

@@ -181,7 +181,7 @@ SELECT name AS resource, unnest(list_zip(regexp_extract_all(content, '{_LINKS}',
     ),
     "json_rows": (lambda t: to_json(t.read("nation")), "SELECT CAST(to_json(nation) AS VARCHAR) AS json FROM nation"),
     "launcher_activity": (lambda t: extract.launcher(t.spark.createDataFrame(MANIFESTS, "name string, content string")), None),
-    "method_slice": (lambda t: t.spark.createDataFrame(SOURCES, "id int, source string, name string").select("id", extract.method_slice("source", "name").alias("code")), None),
+    "method_slice": (lambda t: extract.with_method_slice(t.spark.createDataFrame(SOURCES, "id int, source string, name string"), "source", "name", "code").select("id", "code"), None),
 }
 
 
