@@ -45,8 +45,10 @@ REVERSE = 12
 #: Candidates that one meeting gives a vertex.
 OFFERS = 5
 ORDERS, ORDER_BLOCK, SIGNS = 3, 256, 12
-MAX_ROUNDS, FEW_CHANGES = 8, 0.02
-BEAM, WIDTH, ENTRIES = 64, 16, 256
+MAX_ROUNDS, FEW_CHANGES = 6, 0.03
+BEAM, WIDTH = 64, 40
+#: Vertices among which each query's first ones are looked for, and how many of them it gets.
+ENTRIES, ENTER = 256, 4
 
 
 def _shuffles(df: DataFrame) -> int:
@@ -104,44 +106,51 @@ def _edges(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> pa.RecordBatch
 
 
 def _best_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each vertex' best in its block of an order."""
-    held: list[pa.RecordBatch] = []
+    """Each vertex' best in its block of an order. Rows come sorted, with the order's number first."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
-        node, x = table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks()).astype(np.float32)
+        node, x = table.column(1).to_numpy(), _matrix(table.column(2).combine_chunks()).astype(np.float32)
         sims = x @ x.T
         np.fill_diagonal(sims, -np.inf)
         k = min(NEIGHBOURS, len(node) - 1)
         best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         return _edges(np.repeat(node, k), node[best].ravel(), np.take_along_axis(sims, best, 1).ravel())
 
-    for batch in batches:
-        held.append(batch)
-        while sum(b.num_rows for b in held) >= 2 * ORDER_BLOCK:
-            table = pa.Table.from_batches(held)
-            yield pairs(table.slice(0, ORDER_BLOCK))
-            held = table.slice(ORDER_BLOCK).to_batches()
-    if held and (table := pa.Table.from_batches(held)).num_rows > 1:
-        yield pairs(table)
+    for table, starts in _groups(batches):
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            blocks = max(1, (b - a) // ORDER_BLOCK)
+            cuts = [a + (b - a) * k // blocks for k in range(blocks + 1)]
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                if end - first > 1:
+                    yield pairs(table.slice(first, end - first))
 
 
-def _order(dims: int, number: int):
-    """Add a code of signs and a value by which like vectors come near one another."""
-    planes = np.random.default_rng((number, 1)).standard_normal((dims, SIGNS + 1)).astype(np.float32)
+def _order(dims: int):
+    """A row for each order: its number, a code of signs and a value by which like vectors come near one another."""
+    planes = [np.random.default_rng((number, 1)).standard_normal((dims, SIGNS + 1)).astype(np.float32) for number in range(ORDERS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                at = _matrix(batch.column(1)).astype(np.float32) @ planes
+            for number in range(ORDERS if batch.num_rows else 0):
+                at = _matrix(batch.column(1)).astype(np.float32) @ planes[number]
                 code = (at[:, :SIGNS] > 0) @ (1 << np.arange(SIGNS))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.astype(np.int32)), pa.array(at[:, SIGNS])], names=["node", "x", "code", "at"])
+                columns = [pa.array(np.full(batch.num_rows, number, dtype=np.int32)), *batch.columns, pa.array(code.astype(np.int32)), pa.array(at[:, SIGNS])]
+                yield pa.RecordBatch.from_arrays(columns, names=["number", "node", "x", "code", "at"])
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates from each vertex' neighbours: rows of the vertex, a neighbour, whether new, its worst edge, its vector."""
+    """Candidates from each vertex' neighbours: rows of the vertex, a neighbour, whether new, its worst edge, its vector.
+
+    Rows come sorted by the first three, so that of a neighbour met both ways the new row is last, and it counts.
+    """
     for table, starts in _groups(batches):
+        node, member = table.column(0).to_numpy(), table.column(1).to_numpy()
+        again = np.append((node[1:] == node[:-1]) & (member[1:] == member[:-1]), False)
+        if again.any():
+            table = table.filter(pa.array(~again))
+            starts = _starts(table.column(0).to_numpy())
         member, new, worst = (table.column(k).to_numpy() for k in (1, 2, 3))
         x = _matrix(table.column(4).combine_chunks()).astype(np.float32)
         sizes = np.diff(starts)
@@ -165,39 +174,32 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(scratch: Scratch, points: DataFrame, dims: int) -> DataFrame:
     """Edges ``node``, ``nbr``, ``sim`` of each vertex' NEIGHBOURS best found. ``points``: ``node`` and ``x``, its bytes as half floats."""
     n = _shuffles(points)
-    parts = max(1, min(n, points.count() // ORDER_BLOCK))
-    first = []
-    for number in range(ORDERS):
-        ordered = scratch.keep(points.mapInArrow(_order(dims, number), "node long, x binary, code int, at float"), f"order{number}")
-        dealt = ordered.repartitionByRange(parts, "code", "at", "node").sortWithinPartitions("code", "at", "node")
-        first.append(scratch.keep(dealt.select("node", "x").mapInArrow(_best_of_blocks, _EDGES), f"first{number}"))
-    found = first[0]
-    for more in first[1:]:
-        found = found.unionByName(more)
-    graph = scratch.keep(_best(found.withColumn("new", F.lit(True)), n), "graph0")
-    total = graph.count()
+    parts = max(1, min(n, ORDERS * points.count() // ORDER_BLOCK))
+    orders = scratch.keep(points.mapInArrow(_order(dims), "number int, node long, x binary, code int, at float"), "orders")
+    dealt = orders.repartitionByRange(parts, "number", "code", "at", "node").sortWithinPartitions("number", "code", "at", "node")
+    found = dealt.select("number", "node", "x").mapInArrow(_best_of_blocks, _EDGES).withColumn("new", F.lit(True))
+    graph = scratch.keep(_best(found, n), "graph0")
+    scratch.drop("orders")
+    total, nothing = graph.count(), F.lit(float("-inf")).cast("float")
     for turn in range(1, MAX_ROUNDS + 1):
-        worst = graph.groupBy("node").agg(F.min("sim").alias("least"), F.count("*").alias("n"))
-        worst = worst.select("node", F.when(F.col("n") >= NEIGHBOURS, F.col("least")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-        members = points.join(worst, "node", "left").select(F.col("node").alias("member"), F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"), "x")
+        worst = graph.where(F.col("r") == NEIGHBOURS).select(F.col("node").alias("member"), F.col("sim").alias("worst"))
+        members = points.withColumnRenamed("node", "member").join(worst, "member", "left").select("member", F.coalesce("worst", nothing).alias("worst"), "x")
         back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("member"), "new", F.xxhash64("node", "nbr", F.lit(turn)).alias("h"))
-        back = back.withColumn("r", _rank("node", F.desc("new"), F.col("h"))).where(F.col("r") <= REVERSE)
+        back = back.withColumn("b", _rank("node", F.desc("new"), F.col("h"))).where(F.col("b") <= REVERSE)
         meets = graph.select("node", F.col("nbr").alias("member"), "new").unionByName(back.select("node", "member", "new"))
-        meets = meets.groupBy("node", "member").agg(F.max("new").alias("new"))
-        meets = meets.join(members, "member").repartition(n, "node").sortWithinPartitions("node")
-        offers = meets.select("node", "member", "new", "worst", "x").mapInArrow(_meet, _EDGES)
-        offers = offers.groupBy("node", "nbr").agg(F.max("sim").alias("sim"))
-        graph = scratch.keep(_best(graph.withColumn("new", F.lit(False)).unionByName(offers.withColumn("new", F.lit(True))), n), f"graph{turn}")
+        meets = meets.join(members, "member").repartition(n, "node").sortWithinPartitions("node", "member", "new")
+        offers = meets.select("node", "member", "new", "worst", "x").mapInArrow(_meet, _EDGES).withColumn("new", F.lit(True))
+        graph = scratch.keep(_best(graph.select("node", "nbr", "sim", F.lit(False).alias("new")).unionByName(offers), n), f"graph{turn}")
         scratch.drop(f"graph{turn - 1}")
         if graph.where("new").count() <= FEW_CHANGES * total:
             break
-    return graph.drop("new")
+    return graph.select("node", "nbr", "sim")
 
 
 def _best(edges: DataFrame, n: int) -> DataFrame:
-    """The best edges of each vertex; an edge that was there isn't new."""
+    """The best edges of each vertex with their rank ``r``; an edge that was there isn't new."""
     merged = edges.repartition(n, "node").groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    return merged.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= NEIGHBOURS).drop("r")
+    return merged.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= NEIGHBOURS)
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +224,7 @@ def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataF
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                best = np.argsort(-(_matrix(batch.column(1)).astype(np.float32) @ x.T), axis=1, kind="stable")[:, :WIDTH]
+                best = np.argsort(-(_matrix(batch.column(1)).astype(np.float32) @ x.T), axis=1, kind="stable")[:, :ENTER]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), best.shape[1])), pa.array(ids[best].ravel())], names=["query", "node"])
 
     start = queries.where("own IS NOT NULL").select("query", F.col("own").alias("node"))
@@ -232,18 +234,23 @@ def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataF
         rows = pairs.join(vectors, "node").join(asked, "query").select("query", "node", "xq", "xn")
         return rows.mapInArrow(_products, "query long, node long, sim float").withColumn("expanded", F.lit(False))
 
-    beam = scratch.keep(scored(start), "beam0")
+    def cut(rows: DataFrame) -> DataFrame:
+        """The beam, and of the vertices in it that aren't expanded the best, which are next."""
+        kept = rows.withColumn("r", _rank("query", F.desc("sim"), F.col("node"))).where(F.col("r") <= BEAM)
+        left = F.sum(F.when(~F.col("expanded"), 1).otherwise(0)).over(Window.partitionBy("query").orderBy("r"))
+        return kept.select("query", "node", "sim", "expanded", (~F.col("expanded") & (left <= WIDTH)).alias("next"))
+
+    beam = scratch.keep(cut(scored(start)), "beam0")
     step = 0
-    while not beam.where("NOT expanded").isEmpty():
+    while not (turn := beam.where("next").select("query", "node")).isEmpty():
         step += 1
-        turn = beam.where("NOT expanded").withColumn("r", _rank("query", F.desc("sim"), F.col("node"))).where(F.col("r") <= WIDTH).select("query", "node")
-        turn = scratch.keep(turn, f"turn{step}")
-        fresh = turn.join(near, "node").select("query", F.explode("nbrs").alias("node")).distinct()
-        fresh = fresh.join(beam.select("query", "node"), ["query", "node"], "left_anti")
-        told = beam.join(turn.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "sim", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
-        every = told.unionByName(scored(fresh)).withColumn("r", _rank("query", F.desc("sim"), F.col("node")))
-        beam = scratch.keep(every.where(F.col("r") <= BEAM).drop("r"), f"beam{step}")
-        scratch.drop(f"beam{step - 1}", f"turn{step}")
+        met = turn.join(near, "node").select("query", F.explode("nbrs").alias("node"))
+        told = beam.select("query", "node", "sim", (F.col("expanded") | F.col("next")).alias("expanded"))
+        both = met.select("query", "node", F.lit(None).cast("float").alias("sim"), F.lit(False).alias("expanded")).unionByName(told)
+        both = both.groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("expanded").alias("expanded"))
+        fresh = scored(both.where("sim IS NULL").select("query", "node"))
+        beam = scratch.keep(cut(told.unionByName(fresh)), f"beam{step}")
+        scratch.drop(f"beam{step - 1}")
     return beam.select("query", "node")
 
 

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 #: Rows an Arrow batch may carry; whole texts can be long, so batches are short.
 BATCH_ROWS = 1024
 
@@ -27,7 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch; a smaller setting of the session stays."""
+    """Bring the package to the workers and bound the rows of an Arrow batch; a smaller setting of the session stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
