@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_ashlar_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="ashlar-")), "ashlar_sources.zip")
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="ashlar-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the file until then
+    archive = os.path.join(folder, "ashlar_sources.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, Path(package.name) / source.relative_to(package))
