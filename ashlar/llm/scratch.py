@@ -43,7 +43,9 @@ class Scratch:
         tune(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._path(self.root)[1].deleteOnExit(self._path(self.root)[0])
+        path, files = self._path(self.root)
+        files.mkdirs(path)  # what isn't there can't be marked
+        files.deleteOnExit(path)
 
     def _path(self, where: str):
         jvm = self.spark._jvm
