@@ -3,8 +3,8 @@
 A file is a run of blocks. A block has, little-endian:
 
     8 bytes   magic
-    u64 x 5   width of an id in bytes, documents, ids, documents with null id, smallest doc_id
-    i.e. a 48-byte header, then
+    u64 x 5   width of an id in bytes, documents, ids, documents with null id, smallest doc_id (signed)
+    then, after these 48 bytes,
     Elias-Fano sequence of the doc_ids less the smallest (of those that aren't null; null ids come first)
     Elias-Fano sequence of the documents' ends, counted in ids from the block's start
     the ids of all documents, one after the other
@@ -40,7 +40,7 @@ from .units import blocks, hf_encoder
 
 MAGIC = b"ASHTOK01"
 SAMPLE = 64
-#: Bytes of ids after which a block ends.
+#: Bytes of ids of a block, unless one document has more.
 BLOCK_BYTES = 4 << 20
 
 
@@ -109,14 +109,13 @@ class EliasFano:
         return high | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
 
-def block(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """One block; ``ids``: each document's ids as unsigned 32-bit integers."""
+def block(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, width: int) -> bytes:
+    """One block, of all documents' ids in a row and how many each has."""
     known = [d for d in doc_ids if d is not None]
     least = known[0] if known else 0
-    ends = np.cumsum([len(x) // 4 for x in ids])
-    data = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
-    header = MAGIC + struct.pack("<4Qq", width, len(ids), int(ends[-1]), len(doc_ids) - len(known), least)
-    return header + EliasFano.of([d - least for d in known]).to_bytes() + EliasFano.of(ends).to_bytes() + data
+    ends = np.cumsum(counts)
+    header = MAGIC + struct.pack("<4Qq", width, len(doc_ids), len(ids), len(doc_ids) - len(known), least)
+    return header + EliasFano.of([d - least for d in known]).to_bytes() + EliasFano.of(ends).to_bytes() + ids.astype(f"<u{width}").tobytes()
 
 
 class Blocks:
@@ -140,32 +139,18 @@ class Blocks:
 
 
 def _blocks(path: str, end_id: int, width: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = hf_encoder(path)
-        docs: list = []
-        ids: list[bytes] = []
-        size = 0
-
-        def full() -> pa.RecordBatch:
-            nonlocal size
-            out = pa.RecordBatch.from_arrays([pa.array([block(docs, ids, width)], pa.binary())], names=["block"])
-            docs.clear()
-            ids.clear()
-            size = 0
-            return out
-
-        for some, texts in blocks(batches):
+        for docs, texts in blocks(batches):
             flat, at = encoder.encode(texts)
-            for doc, a, b in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True):
-                docs.append(doc)
-                ids.append(flat[a:b].tobytes() + end)
-                size += (b - a + 1) * width
-                if size >= BLOCK_BYTES:
-                    yield full()
-        if docs:
-            yield full()
+            flat = np.insert(flat, at[1:], end_id).astype(f"<u{width}")
+            at = at + np.arange(len(at))
+            first = 0
+            while first < len(docs):  # as many documents as fill a block, and one at least
+                last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES // width, "right")) - 1)
+                one = block(docs[first:last], np.diff(at[first : last + 1]), flat[at[first] : at[last]], width)
+                yield pa.RecordBatch.from_arrays([pa.array([one], pa.binary())], names=["block"])
+                first = last
 
     return run
 
@@ -187,14 +172,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = place = 0
             for docs, ends, ids in Blocks(batch.column(1)[k].as_buffer()):
                 n = ends.n
-                last = [ends.select(i) for i in range(n)]
-                first = [0, *last[:-1]]
+                last = ends.all()
+                first = np.concatenate(([0], last[:-1]))
                 wide = ids.astype("<u4")
-                sums = [zlib.crc32(wide[a:b]) for a, b in zip(first, last, strict=True)]
-                columns = ([batch.column(0)[k].as_py()] * n, docs, range(place, place + n), [before + a for a in first], [b - a for a, b in zip(first, last, strict=True)], sums)
+                sums = [zlib.crc32(wide[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                columns = (np.full(n, batch.column(0)[k].as_py(), dtype=np.int32), docs, np.arange(place, place + n), before + first, last - first, sums)
                 kinds = (pa.int32(), *[pa.int64()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _READ.split(", ")])
-                before += last[-1]
+                before += int(last[-1])
                 place += n
 
 

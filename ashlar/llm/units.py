@@ -46,8 +46,12 @@ class Kept:
     def put_many(self, keys: list[str], values: Sequence[bytes]) -> None:
         if len(self.young) + len(keys) > self.half:
             self.old, self.young = self.young, {}
-        if len(keys) <= self.half:
-            self.young.update((k, x) for k, x in zip(keys, values, strict=True) if len(k) <= self.longest)
+        if len(keys) > self.half or not keys:
+            return
+        short = zip(keys, values, strict=True)
+        if max(map(len, keys)) > self.longest:
+            short = ((k, x) for k, x in short if len(k) <= self.longest)
+        self.young.update(short)
 
 
 class UnitCache:
@@ -68,19 +72,20 @@ class UnitCache:
         self.encode_many, self.encode_units = encode_many, encode_units or encode_many
         self.kept = Kept(most, longest)  # by the part without its space
 
-    def _ids(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+    def _ids(self, words: pa.Array) -> tuple[list[bytes], list[int]]:
         """Ids of distinct parts, and the places of those that begin or end with white space, where a cut is no cut."""
+        wide = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(words), words), pc.equal(words, ""))
+        odd = np.flatnonzero(wide.to_numpy(zero_copy_only=False)).tolist()
+        words = words.to_pylist()
         out = self.kept.get_many(words)
+        for k in odd:
+            out[k] = b""
         new = [k for k, x in enumerate(out) if x is None]
-        odd = [k for k in new if not (w := words[k]) or w[0].isspace() or w[-1].isspace()]
-        if odd:
-            new = sorted(set(new).difference(odd))
-            for k in odd:
-                out[k] = b""
-        ids = self.encode_units([" " + words[k] for k in new])
+        parts = [words[k] for k in new]
+        ids = self.encode_units([" " + w for w in parts])
         for k, x in zip(new, ids, strict=True):
             out[k] = x
-        self.kept.put_many([words[k] for k in new], ids)
+        self.kept.put_many(parts, ids)
         return out, odd
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +104,11 @@ class UnitCache:
             return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
-        units = coded.indices.to_numpy().astype(np.int64)
+        units = coded.indices.to_numpy().astype(np.int32)
         at = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-        heads, words = coded.take(pa.array(at[:-1])).to_pylist(), coded.dictionary.to_pylist()
-        ids, odd = self._ids(words)
-        units[at[:-1]] = len(words) + np.arange(len(heads))  # the first part has no space before it
+        heads = coded.take(pa.array(at[:-1])).to_pylist()
+        ids, odd = self._ids(coded.dictionary)
+        units[at[:-1]] = len(ids) + np.arange(len(heads))  # the first part has no space before it
         slow: dict[int, bytes] = {k: b"" for k, head in enumerate(heads) if head[-1:].isspace()}
         if odd:
             slow |= dict.fromkeys((np.searchsorted(at, np.flatnonzero(np.isin(units, odd)), "right") - 1).tolist(), b"")
@@ -111,16 +116,16 @@ class UnitCache:
         for k in slow:
             ids.append(b"".join(self.encode_many(_CUT.split(texts[k].as_py()))))
             units[at[k]] = len(ids) - 1
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(counts) - counts
+        counts = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        starts = np.cumsum(counts, dtype=np.int32) - counts  # a block's ids are far fewer than 2^31
         lengths = counts[units]
         for k in slow:
             lengths[at[k] + 1 : at[k + 1]] = 0
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int32)
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         places = np.repeat(starts[units] - ends + lengths, lengths)
-        places += np.arange(len(places))
-        return flat[places], np.concatenate(([0], ends[at[1:] - 1]))
+        places += np.arange(len(places), dtype=np.int32)
+        return flat[places], np.concatenate(([0], ends[at[1:] - 1].astype(np.int64)))
 
 
 #: Bytes of text that a block gathers.
