@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -93,9 +94,20 @@ def test_token_files_of_odd_tables(spark):
     assert token_store.store_and_read(spark, docs.limit(0), FILE, 2).collect() == []
 
 
+def test_small_blocks_hold_the_same(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": ["a b c " * (k % 5) for k in range(50)]})
+    found = {}
+    for size in (20, 1 << 20):
+        monkeypatch.setattr(token_store, "BLOCK_BYTES", size)
+        blocks = [b.column(0)[0].as_py() for b in token_store._blocks(FILE, 2, 2)(iter([batch]))]
+        held = [(d, ids[([0, *ends.all()])[k] : ends.select(k)].tolist()) for b in blocks for docs, ends, ids in token_store.Blocks(b + b"\n") for k, d in enumerate(docs)]
+        found[size] = len(blocks), held
+    assert found[20][0] > 10 and found[1 << 20][0] == 1
+    assert found[20][1] == found[1 << 20][1] and [d for d, _ in found[20][1]] == list(range(50))
+
+
 def test_blocks_round_trip():
-    ids = [np.arange(n, dtype="<u4") for n in (3, 0, 5)]
-    data = token_store.block([None, 7, 9], [x.tobytes() for x in ids], 2) + b"\n"
+    data = token_store.block([None, 7, 9], np.array([3, 0, 5]), np.concatenate([np.arange(3), np.arange(5)]), 2) + b"\n"
     (one, two) = list(token_store.Blocks(data + data))
     assert one[0] == [None, 7, 9] and [one[1].select(k) for k in range(3)] == [3, 3, 8]
     assert two[2].tolist() == [0, 1, 2, 0, 1, 2, 3, 4]
