@@ -58,7 +58,7 @@ class UnitCache:
     """Ids of whole texts, as unsigned 32-bit integers.
 
     ``encode_many`` turns any strings into such ids' little-endian bytes. ``encode_units`` does so for
-    strings that start with a space and can't be cut, of which there are many.
+    strings that can't be cut, each with a space put before it; there are many of them.
     ``most`` and ``longest`` bound the parts kept between calls.
     """
 
@@ -69,7 +69,8 @@ class UnitCache:
         most: int = 300_000,
         longest: int = 64,
     ):
-        self.encode_many, self.encode_units = encode_many, encode_units or encode_many
+        self.encode_many = encode_many
+        self.encode_units = encode_units or (lambda words: encode_many([" " + w for w in words]))
         self.kept = Kept(most, longest)  # by the part without its space
 
     def _ids(self, words: pa.Array) -> tuple[list[bytes], list[int]]:
@@ -82,7 +83,7 @@ class UnitCache:
             out[k] = b""
         new = [k for k, x in enumerate(out) if x is None]
         parts = [words[k] for k in new]
-        ids = self.encode_units([" " + w for w in parts])
+        ids = self.encode_units(parts)
         for k, x in zip(new, ids, strict=True):
             out[k] = x
         self.kept.put_many(parts, ids)
@@ -173,13 +174,13 @@ def hf_encoder(path: str) -> UnitCache:
         def many(parts: Sequence[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(list(parts), add_special_tokens=False)]
 
-        def units(parts: Sequence[str]) -> list[bytes]:
+        def units(words: Sequence[str]) -> list[bytes]:
             out: list[bytes] = []
-            for i in range(0, len(parts), _TOGETHER):
-                some = parts[i : i + _TOGETHER]
-                ids = np.array(tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-                ends = np.cumsum([len(p.encode()) for p in some])
-                at = (4 * (1 + np.searchsorted(np.cumsum(n_bytes[ids]), ends))).tolist()
+            for i in range(0, len(words), _TOGETHER):
+                some = words[i : i + _TOGETHER]
+                ids = array("I", tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids)
+                ends = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in some])
+                at = (4 * (1 + np.searchsorted(np.cumsum(n_bytes[np.frombuffer(ids, dtype="<u4")]), ends))).tolist()
                 data = ids.tobytes()
                 out += [data[a:b] for a, b in zip([0, *at], at, strict=False)]
             return out
