@@ -12,6 +12,14 @@ n-grams are counted by a hash into ``SPACE`` places, for landmarks and texts
 alike. Letters are lower-cased, runs of anything else become one space, and only
 letters and such spaces form n-grams, so digits, symbols and case don't matter.
 
+One-versus-rest values sum to 2 minus the number of languages for any text, so
+the best of them can't tell a text in none of the languages. That is told by
+familiarity: the share of the text's trigrams that the sample has, plus one over
+the root of their number, as few trigrams tell little. The least familiarity to
+pass is learned from texts that are left out: between what the texts of one half
+of the sample have by the other half and what they have with their letters
+shuffled. With ``reject``, texts below it are ``und``.
+
 The fit reads a bounded sample, ``Sample.texts`` texts of at most
 ``Sample.chars`` characters; prediction reads every whole text.
 
@@ -39,6 +47,8 @@ ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
 #: Texts whose presence forms one matrix.
 MATRIX_ROWS = 256
+#: Places of trigrams, for familiarity.
+TRIGRAMS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -105,12 +115,62 @@ def matrix(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return rows.astype(np.float32) / norms[:, None], known
 
 
+def trigrams(text: str | None) -> np.ndarray:
+    """The place of each trigram of the text."""
+    points = letters(text)
+    if len(points) < 3:
+        return np.zeros(0, dtype=np.uint32)
+    value = (points[:-2] * np.uint32(0x9E3779B1) + points[1:-1]) * np.uint32(0x85EBCA6B) + points[2:]
+    mixed = value ^ (value >> np.uint32(15))
+    return (mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - TRIGRAMS.bit_length() + 1)
+
+
+def familiarity(places: np.ndarray, seen: np.ndarray) -> float:
+    return float(seen[places].mean() + len(places) ** -0.5) if len(places) else 0.0
+
+
+def seen_in(texts: list[str]) -> np.ndarray:
+    out = np.zeros(TRIGRAMS, dtype=bool)
+    for text in texts:
+        out[trigrams(text)] = True
+    return out
+
+
+def least_familiarity(texts: list[str], langs: list[str]) -> float:
+    """A bound between the texts' familiarity by others and that of their shuffled letters; 0 if no text is left out."""
+    turns: dict[str, int] = {}
+    halves: tuple[list[str], list[str]] = [], []
+    for text, lang in zip(texts, langs, strict=True):  # every other text of each language
+        turns[lang] = turns.get(lang, -1) + 1
+        halves[turns[lang] % 2].append(text)
+    clean, none, rng = [], [], np.random.default_rng(1)
+    for own, other in (halves, halves[::-1]):
+        seen = seen_in(other)
+        for text in own if other else ():
+            points = letters(text)
+            if len(points):
+                clean.append(familiarity(trigrams(text), seen))
+                at = np.flatnonzero(points != 32)
+                points[at] = rng.permutation(points[at])
+                none.append(familiarity(trigrams(points.tobytes().decode("utf-32-le", "surrogatepass")), seen))
+    if not clean:
+        return 0.0
+    low, high = float(np.quantile(clean, 0.01)), float(np.quantile(none, 0.99))
+    return min(low, (low + high) / 2)
+
+
 @dataclass(frozen=True)
 class Model:
     labels: list[str]
     landmarks: np.ndarray  # SPACE x landmarks
     weights: np.ndarray  # landmarks x labels
     bias: np.ndarray
+    seen: np.ndarray  # trigrams of the sample
+    least: float  # familiarity of texts in one of the languages
+
+    def foreign(self, text: str | None) -> bool:
+        """Whether the text is in none of the languages."""
+        return familiarity(trigrams(text), self.seen) < self.least
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.labels or not texts:
@@ -127,10 +187,10 @@ def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float) -> Mod
     labels = sorted(set(langs))
     none = np.zeros((SPACE, 0), dtype=np.float32), np.zeros((0, len(labels)), dtype=np.float32)
     x, known = matrix(texts) if texts else (np.zeros((0, SPACE), np.float32), np.zeros(0, bool))
-    x, langs = x[known], [lang for lang, k in zip(langs, known, strict=True) if k]
+    x, langs, texts = x[known], *([v for v, k in zip(values, known, strict=True) if k] for values in (langs, texts))
     labels = sorted(set(langs))
     if not labels:
-        return Model([], *none, np.zeros(0, dtype=np.float32))
+        return Model([], *none, np.zeros(0, dtype=np.float32), seen_in([]), 0.0)
     chosen: list[int] = []  # in turn from each language
     by = [[k for k, lang in enumerate(langs) if lang == label] for label in labels]
     for turn in range(max(map(len, by))):
@@ -148,7 +208,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float) -> Mod
     mean_z, mean_y = np.average(z, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
     zc, yc = z - mean_z, y - mean_y
     w = np.linalg.solve(zc.T @ (zc * weight[:, None]) + ridge * len(langs) * np.eye(zc.shape[1]), zc.T @ (yc * weight[:, None]))
-    return Model(labels, np.ascontiguousarray(marks.T), (whiten @ w).astype(np.float32), (mean_y - mean_z @ w).astype(np.float32))
+    return Model(labels, np.ascontiguousarray(marks.T), (whiten @ w).astype(np.float32), (mean_y - mean_z @ w).astype(np.float32), seen_in(texts), least_familiarity(texts, langs))
 
 
 def fold(doc_id: Column) -> Column:
@@ -171,18 +231,25 @@ def learn(docs: DataFrame, sample: Sample = Sample()) -> Model:
     return fit([r.text for r in rows], [r.lang for r in rows], sample.landmarks, sample.ridge)
 
 
-def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """Rows of ``keep`` (doc_id, if none) and lang_pred and score of every whole text; ``keep`` may name any columns but these."""
+def predict(docs: DataFrame, model: Model, *keep: str, reject: bool = False) -> DataFrame:
+    """Rows of ``keep`` (doc_id, if none) and lang_pred and score of every whole text; ``keep`` may name any columns but these.
+
+    With ``reject``, a text in none of the languages is ``und`` with score 0.
+    """
     spark = docs.sparkSession
     tune(spark)
     keep = keep or ("doc_id",)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the landmarks
+    shared = spark.sparkContext.broadcast(model)  # bounded by the landmarks and TRIGRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, MATRIX_ROWS):
                 part = batch.slice(at, MATRIX_ROWS)
-                langs, scores = shared.value.predict(part.column(read).to_pylist())
+                texts = part.column(read).to_pylist()
+                langs, scores = shared.value.predict(texts)
+                if reject:
+                    kept = [not shared.value.foreign(t) for t in texts]
+                    langs, scores = [x if k else UNKNOWN for x, k in zip(langs, kept, strict=True)], [x * k for x, k in zip(scores, kept, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     read = "text" if "text" in keep else "__text"

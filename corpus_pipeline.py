@@ -11,14 +11,11 @@ from ashlar.llm import lang_kernel, near_dedup, packing, pii
 from ashlar.llm.queries import PII_KEY, tokenizer
 from ashlar.llm.scratch import Scratch
 
-#: A text with a lower score in every language is in none of them.
-LEAST_SCORE = 0.1
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose best language has a score of LEAST_SCORE or more; the model learns from their labels."""
-    predicted = lang_kernel.predict(docs, lang_kernel.learn(docs), *docs.columns)
-    return predicted.where((F.col("lang_pred") != lang_kernel.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents with letters and in one of the languages that the model learns from their labels."""
+    predicted = lang_kernel.predict(docs, lang_kernel.learn(docs), *docs.columns, reject=True)
+    return predicted.where(F.col("lang_pred") != lang_kernel.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

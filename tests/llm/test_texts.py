@@ -50,6 +50,19 @@ def test_languages_of_odd_tables(spark):
     assert {r.lang_pred for r in lang_kernel.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_texts_in_none_of_the_languages_go(spark):
+    """Other scripts, other languages' letters and random letters go; clean held-out documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(5)
+    mash = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(k)) for k in (10, 100, 1000)]
+    texts = ["これは日本語の文章です。私は学生です。", "Αυτό είναι ένα ελληνικό κείμενο", "Это русский текст о погоде", "asdkjfh qwlekjr zxcmvn qpwoeiru alskdjf", "这是中文", *mash]
+    odd = spark.createDataFrame([(10**6 + 3 * k, t, None, "s", len(t)) for k, t in enumerate(texts)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(odd), "").select("doc_id").collect()}
+    assert not [t for k, t in enumerate(texts) if 10**6 + 3 * k in kept]
+    held = [r.doc_id for r in docs.select("doc_id").collect() if lang_kernel.held_out_crc(r.doc_id)]
+    assert np.mean([i in kept for i in held]) >= 0.995
+
+
 def test_windows_and_scores():
     """The score of each text is the sum, word by word, of what the table and the lexicon give."""
     texts = ["The cat sat. The dog", None, " a\n", "the zebra-cat! xyzzyx the"]
