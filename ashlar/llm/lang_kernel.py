@@ -37,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import tune
@@ -219,15 +219,17 @@ def fold(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample: Sample = Sample()) -> Model:
     """Fit on a sample, the same for the same rows, of labelled texts that aren't held out.
 
-    The sample takes those with the smallest hash of lang and doc_id, as many of
-    each language: the partial aggregate of a task has no more than the bound.
+    The sample takes texts by hash in turn from each language, so that all give
+    their first before any gives its second, and a language with few gives all
+    it can: the partial aggregate of a task has no more than the bound a language.
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, sample.chars).alias("text"))
     taught = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(F.col("doc_id")), F.lit(0)) != 1))
     # Buckets of each language's texts by hash; min_by keeps one text of a bucket, so no task holds more than the sample.
     bucket = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(sample.texts))
     one = taught.groupBy("lang", bucket.alias("bucket")).agg(F.min(F.struct(F.xxhash64("doc_id", "text").alias("order"), "text")).alias("one"))
-    rows = one.orderBy("bucket", "lang").limit(sample.texts).select("lang", "one.text").collect()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("bucket"))  # at most the bound's rows a language
+    rows = one.withColumn("turn", turn).orderBy("turn", "lang").limit(sample.texts).select("lang", "one.text").collect()
     return fit([r.text for r in rows], [r.lang for r in rows], sample.landmarks, sample.ridge)
 
 

@@ -30,6 +30,14 @@ def test_held_out_labels_teach_nothing(spark):
     assert lang_kernel.learn(other).labels == lang_kernel.learn(docs).labels
 
 
+def test_rare_languages_are_learned(spark):
+    """Each of 30 languages with two taught texts is in a sample of 60, next to two with very many."""
+    rows = [(k, f"text {k}", f"r{k % 30:02d}") for k in [k for k in range(400) if not lang_kernel.held_out_crc(k)][:60]]
+    many = [(1000 + k, f"other {k}", "ab"[k % 2]) for k in range(2000)]
+    labels = lang_kernel.learn(spark.createDataFrame(rows + many, "doc_id long, text string, lang string"), lang_kernel.Sample(texts=60)).labels
+    assert set(labels) == {"a", "b", *(r[2] for r in rows)}
+
+
 def test_kernel_is_shared_grams_over_norms():
     x, known = lang_kernel.matrix(["abc", "abd", "", None, "12 !"])
     grams = lambda t: {f" {t} "[k : k + n] for n in lang_kernel.ORDERS for k in range(len(t) + 3 - n)}
