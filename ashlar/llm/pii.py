@@ -10,12 +10,12 @@ Every entity gets a replacement of its own type and format, made with a key:
   distinct entities stay distinct. Card numbers keep whether their check digit
   is right, bank accounts get right ones, addresses stay in their kind of
   network, e-mail domains and key prefixes that name nobody stay.
-- Given names come from a list of the same gender and script, surnames from
-  syllables of the same script; a surname after a title is also replaced where it
-  stands alone in that document.
+- Given names come from a list of the same gender and script, and from the second
+  attempt on get syllables added; surnames come from syllables of the same script;
+  a surname after a title is also replaced where it stands alone in that document.
 
 The same entity gets the same replacement everywhere, so references still agree.
-A permutation may leave a string as it is, and made-up surnames may meet, so all
+A permutation may leave a string as it is, and made-up names may meet, so all
 distinct entities of the corpus are checked: where replacements meet, or one
 equals its original, all but one get the next attempt, until none meet. Those few
 entities with another attempt than the first form the exceptions that the
@@ -214,17 +214,22 @@ class Surrogates:
             text = self.same_format(text, *tweak)
         return text
 
+    def _syllables(self, n: int, kind: str, attempt: int, value: str, *tweak: object) -> str:
+        parts, x = SYLLABLES[script_of(value) or "latin"], self.number(kind, attempt, value, *tweak)
+        made = ""
+        for _ in range(n):
+            x, k = divmod(x, len(parts))
+            made += parts[k]
+        return made
+
     def _of(self, kind: str, value: str, attempt: int = 0) -> str:
         tweak = (kind, attempt)
         if kind.startswith("given-"):
             names = GIVEN[script_of(value) or "latin", kind[-1]]
-            return names[self.number(*tweak, value) % len(names)]
+            first = names[self.number(*tweak, value) % len(names)]
+            return first if not attempt else f"{first}-{self._syllables(1 + attempt, *tweak, value, 'added').capitalize()}"
         if kind == "surname":
-            parts, x = SYLLABLES[script_of(value) or "latin"], self.number(*tweak, value)
-            made = ""
-            for _ in range(4):
-                x, k = divmod(x, len(parts))
-                made += parts[k]
+            made = self._syllables(4 + attempt // 4, *tweak, value)
             return made.upper() if value.isupper() and len(value) > 1 else made.capitalize()
         if kind == "ip":
             return self._ip(value, tweak)
@@ -288,9 +293,9 @@ class Surrogates:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct entities of each batch, but for given names, which a person's surname tells apart."""
+    """The distinct entities of each batch."""
     for batch in batches:
-        found = {(kind, text[a:b]) for text in batch.column(0).to_pylist() if text for a, b, kind in detect(text) if not kind.startswith("given-")}
+        found = {(kind, text[a:b]) for text in batch.column(0).to_pylist() if text for a, b, kind in detect(text)}
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=["kind", "value"])
 
 

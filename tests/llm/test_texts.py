@@ -185,6 +185,18 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert {r.doc_id: r.text for r in pii.pseudonymize(docs, "k").collect()} == few
 
 
+def test_given_names_stay_distinct(spark):
+    """More given names than the list has, the list's own among them: each gets one of its own, and none its own."""
+    for gender, title in (("m", "Mr."), ("f", "Mrs.")):
+        names = [*pii.GIVEN["latin", gender], *(f"Jo{a}{b}" for a in "abcdef" for b in "mnopqr")]
+        docs = documents(spark, *[(k, f"{title} {n} Smith and {title} {names[k - 1]} Smith met.") for k, n in enumerate(names)])
+        new = {r.doc_id: re.findall(r"Mrs?\. (\S+) ", r.text) for r in pii.pseudonymize(docs, "k").select("doc_id", "text").collect()}
+        given = [new[k][0] for k in range(len(names))]
+        assert len(set(given)) == len(names) and not any(a == b for a, b in zip(given, names, strict=True))
+        assert all(new[k][1] == given[k - 1] for k in range(len(names)))
+        assert all(pii.detect(f"{title} {n} Smith")[0][1:] == (len(title) + 1 + len(n), f"given-{gender}") for n in given)
+
+
 def test_pii_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, None, 1), (2, "", 1), (3, "Mr. Bo Li 1.2.3.4", 1), (3, "Mr. Bo Li 1.2.3.4", 1)], "doc_id long, text string, entities int")
     rows = pii.pseudonymize(docs, "k").collect()
