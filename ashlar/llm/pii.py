@@ -6,8 +6,9 @@ and bank account numbers, keys and passwords, and names after a title.
 Every entity gets a replacement of its own type and format, made with a key:
 
 - Strings and numbers go through a keyed permutation of all strings of the same
-  format (per class of characters: digits, hex digits, cases, scripts), so
-  distinct entities stay distinct. Card numbers keep whether their check digit
+  format (per class of characters: digits, hex digits, cases, scripts; letters and
+  digits of any other script by category and block), so distinct entities stay
+  distinct. Card numbers keep whether their check digit
   is right, bank accounts get right ones, addresses stay in their kind of
   network, e-mail domains and key prefixes that name nobody stay.
 - Given names come from a list of the same gender and script, and from the second
@@ -17,7 +18,10 @@ Every entity gets a replacement of its own type and format, made with a key:
 The same entity gets the same replacement everywhere, so references still agree.
 A permutation may leave a string as it is, and made-up names may meet, so all
 distinct entities of the corpus are checked: where replacements meet, or one
-equals its original, all but one get the next attempt, until none meet. Those few
+equals its original, all but one get the next attempt, until none meet. After
+PERMUTATIONS attempts, or if it has nothing to permute, an e-mail's local part, a
+secret, a password, a phone number or an address in a small network is drawn by
+key in a form of its type with more room. Those few
 entities with another attempt than the first form the exceptions that the
 rewriting pass reads.
 
@@ -32,6 +36,8 @@ import functools
 import hashlib
 import ipaddress
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +49,8 @@ from .scratch import Scratch
 #: Up to so many exceptions, under 100 bytes each, go to all executors; beyond, they are joined to their documents.
 BROADCAST_EXCEPTIONS = 50_000
 MAX_ATTEMPTS = 64
+#: Attempts that permute within the format.
+PERMUTATIONS = 4
 
 # Given names by script and gender, titles by gender, syllables by script.
 GIVEN = {
@@ -65,6 +73,40 @@ SYLLABLES = {
 
 _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 _CLASS_OF = {c: (k, i) for k, chars in enumerate(_CLASSES) for i, c in enumerate(chars)}
+#: Blocks of code points in which letters or digits of a category form a class; categories with fewer there than LEAST_CLASS form one over all blocks.
+BLOCK, LEAST_CLASS = 128, 8
+
+
+@functools.cache
+def _other_classes() -> dict[str, str]:
+    """For each class of letters and digits that aren't in _CLASSES, its characters."""
+    found: dict[tuple[str, int], list[str]] = {}
+    for point in range(0x80, sys.maxunicode + 1):
+        c = chr(point)
+        if (category := unicodedata.category(c))[0] in "LN" and c not in _CLASS_OF:
+            found.setdefault((category, point // BLOCK), []).append(c)
+    classes: dict[str, list[str]] = {}
+    for (category, block), chars in found.items():
+        classes.setdefault(f"{category}{block}" if len(chars) >= LEAST_CLASS else category, []).extend(chars)
+    return {name: "".join(chars) for name, chars in classes.items()}
+
+
+@functools.cache
+def _other_class_of() -> dict[str, str]:
+    return {c: name for name, chars in _other_classes().items() for c in chars}
+
+
+def _class(c: str) -> tuple[str, str | None]:
+    """The name of a character's class and the class; the character and None if it is no letter or digit."""
+    if c in _CLASS_OF:
+        k = _CLASS_OF[c][0]
+        return str(k), _CLASSES[k]
+    if c < "\x80" or (name := _other_class_of().get(c)) is None:
+        return c, None
+    return f"<{name}>", _other_classes()[name]
+
+
+_ALNUM = _CLASSES[0] + _CLASSES[1] + _CLASSES[2]
 _HEX = {"l": "0123456789abcdef", "u": "0123456789ABCDEF"}
 
 _NAME = r"[^\W\d_][^\W\d_]*(?:['’-][^\W\d_]+)*"
@@ -194,13 +236,14 @@ class Surrogates:
     def same_format(self, text: str, *tweak: object, hexadecimal: bool = False) -> str:
         """Permute each class of characters; what is in no class stays. The format is part of the key, so that it's kept apart."""
         out = list(text)
-        shape = "".join(str(_CLASS_OF[c][0]) if c in _CLASS_OF else c for c in text) if not hexadecimal else str(len(text))
+        classes = [_class(c) for c in text]
+        shape = "".join(name for name, _ in classes) if not hexadecimal else str(len(text))
         groups: dict[str, list[int]] = {}
         for k, c in enumerate(text):
             if hexadecimal:
                 groups.setdefault(_HEX["u" if text.upper() == text else "l"], []).append(k)
-            elif c in _CLASS_OF:
-                groups.setdefault(_CLASSES[_CLASS_OF[c][0]], []).append(k)
+            elif (alphabet := classes[k][1]) is not None:
+                groups.setdefault(alphabet, []).append(k)
         for alphabet, places in groups.items():
             new = self.permute([alphabet.index(text[k]) for k in places], len(alphabet), *tweak, shape)
             for k, d in zip(places, new, strict=True):
@@ -214,6 +257,9 @@ class Surrogates:
             text = self.same_format(text, *tweak)
         return text
 
+    def _drawn(self, n: int, alphabet: str, *what: object) -> str:
+        return "".join(alphabet[self.number(*what, k) % len(alphabet)] for k in range(n))
+
     def _syllables(self, n: int, kind: str, attempt: int, value: str, *tweak: object) -> str:
         parts, x = SYLLABLES[script_of(value) or "latin"], self.number(kind, attempt, value, *tweak)
         made = ""
@@ -248,16 +294,25 @@ class Surrogates:
         if kind == "phone":
             code = re.match(r"\+\d{1,3}(?=[ .(-])", value)
             head = code.group() if code else ""
+            if attempt >= PERMUTATIONS:  # a country code that nobody has
+                return f"+999 {self._drawn(5, _CLASSES[0], *tweak, value, 1)} {self._drawn(5, _CLASSES[0], *tweak, value, 2)}"
             return head + self.same_format(value[len(head) :], *tweak, head)
         if kind == "email":
             local, _, domain = value.rpartition("@")
             labels = domain.split(".")
             known = 2 if labels[-2].lower() == "example" else 1
             host = ".".join([*(self.same_format(x, *tweak, "host") for x in labels[:-known]), *labels[-known:]])
+            if attempt >= PERMUTATIONS or not any(_class(c)[1] for c in local):
+                return f"{self._drawn(12 + attempt, _CLASSES[1] + _CLASSES[0], *tweak, value)}@{host}"
             return f"{self.same_format(local, *tweak)}@{host}"
         if kind == "secret":
             head = re.match(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|eyJ", value).group()
-            return head + self.same_format(value[len(head) :], *tweak, head)
+            rest = value[len(head) :]
+            if head not in ("AKIA", "ASIA") and (attempt >= PERMUTATIONS or not any(_class(c)[1] for c in rest)):
+                return head + "".join(c if c == "." else self._drawn(1, _ALNUM, *tweak, value, k) for k, c in enumerate(rest)) + self._drawn(12 + attempt, _ALNUM, *tweak, value)
+            return head + self.same_format(rest, *tweak, head)
+        if kind == "password" and attempt >= PERMUTATIONS:
+            return self._drawn(12 + attempt, _ALNUM, *tweak, value) + self._drawn(1, _CLASSES[0], *tweak, value, "digit")
         hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None
         return self.same_format(value, *tweak, hexadecimal=hexadecimal)
 
@@ -273,6 +328,8 @@ class Surrogates:
         number = functools.reduce(lambda x, d: x << 8 | d, parts, 0)
         kind = network(number)
         free = {(10, 0): 24, (172, 16): 20, (192, 168): 16, (0,): 24, (127,): 24, (169, 254): 16}.get(kind, 32)
+        if free < 32 and tweak[1] >= PERMUTATIONS:  # an address that is kept back for no one
+            return str(ipaddress.IPv4Address((15 << 28) + self.number(*tweak, value) % ((1 << 28) - 1)))
         base, low = number >> free << free, number & (1 << free) - 1
         while True:
             bits = self.permute([low >> k & 1 for k in range(free - 1, -1, -1)], 2, *tweak, free)
@@ -323,7 +380,7 @@ def exceptions(scratch: Scratch, texts: DataFrame, key: str) -> DataFrame | None
         if some is not None:
             again = scratch.keep(some.join(again, ["kind", "value"], "left_anti").unionByName(again), f"some{attempt}")
         some = again
-    raise RuntimeError(f"replacements still meet after {MAX_ATTEMPTS} attempts")
+    raise RuntimeError(f"replacements still meet after {MAX_ATTEMPTS} attempts: nearly all values of a format are in use")
 
 
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:

@@ -197,6 +197,33 @@ def test_given_names_stay_distinct(spark):
         assert all(pii.detect(f"{title} {n} Smith")[0][1:] == (len(title) + 1 + len(n), f"given-{gender}") for n in given)
 
 
+def test_letters_of_every_script_are_replaced(spark):
+    """Letters of other scripts, and values with nothing to permute, get replacements; none stays and none fails."""
+    values = ["用户@example.com", "_@example.org", "-@example.org", "مستخدم@site.org", "משתמש@site.org", "ผใช@site.org", "ł@example.com", "şё@example.com", "xoxb-----------", "sk-____________________", "٣٤٥@example.com"]
+    docs = documents(spark, *[(k, f"see {v}, or") for k, v in enumerate(values)])
+    new = {r.doc_id: r.text for r in pii.pseudonymize(docs, "k").select("doc_id", "text").collect()}
+    assert len(set(new.values())) == len(values)
+    for k, v in enumerate(values):
+        (start, end, kind), *more = pii.detect(new[k])
+        assert not more and kind == pii.detect(f"see {v}, or")[0][2] and new[k][start:end] != v
+        assert kind != "email" or new[k][start:end].split("@")[0] != v.split("@")[0]
+    every = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"]  # the whole format is in use
+    made = [r.text for r in pii.pseudonymize(documents(spark, *enumerate(every)), "k").orderBy("doc_id").collect()]
+    assert len(set(made)) == 26 and not any(a == b for a, b in zip(made, every, strict=True))
+
+
+def test_generic_classes_are_kept_apart():
+    for c in "用مשผłşёµªⅷ²":
+        name, alphabet = pii._class(c)
+        assert c in alphabet and len(alphabet) >= 2 and all(pii._class(x) == (name, alphabet) for x in alphabet)
+    text = "Łódź-Ёлка"
+    assert [pii._class(c)[0] for c in MAKE.same_format(text, "t")] == [pii._class(c)[0] for c in text]
+    for kind, value in (("phone", "+1 (017) 555-7713"), ("ip", "127.0.0.1"), ("password", "!!!!!1"), ("email", "a@example.com"), ("secret", "ghp_" + "a" * 20)):
+        made = {MAKE.of(kind, value, n) for n in range(pii.PERMUTATIONS, pii.MAX_ATTEMPTS)}
+        assert len(made) == pii.MAX_ATTEMPTS - pii.PERMUTATIONS
+        assert all([k for _, _, k in pii.detect(f"password={v}" if kind == "password" else f"see {v}, or")] == [kind] for v in made)
+
+
 def test_pii_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, None, 1), (2, "", 1), (3, "Mr. Bo Li 1.2.3.4", 1), (3, "Mr. Bo Li 1.2.3.4", 1)], "doc_id long, text string, entities int")
     rows = pii.pseudonymize(docs, "k").collect()
