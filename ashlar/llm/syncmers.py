@@ -4,12 +4,11 @@ A text is its words, split at white space. Of each run of K words, the minimal
 word by hash is found; the run is a closed syncmer, and its hash an anchor, if
 that word is the run's first or last. Whether a run is chosen depends on the run
 alone, so an edit moves no anchors beyond its own K words. The fingerprint has
-the SIZE smallest distinct anchors, in the order of their first place in the
-text, as eight hex digits each.
+all anchors of the text, however many, in text order, as eight hex digits each.
 
-Two fingerprints are matched by position: of the smallest anchors of both
-together (SIZE, or all, if fewer), those count that both have and that stand at
-the same place among the shared ones. The likeness is their share.
+Two fingerprints are matched by position: of the distinct anchors of both
+together, those count that both have and that stand at the same place, by their
+first ones, among the shared ones. The likeness is their share.
 
 Defined cases: a text of fewer than K words has one anchor, the hash of all its
 words; without words (or null, which is the empty text) the fingerprint is the
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 K = 3
-SIZE = 64
 #: Intervals of doc_id with about equally many rows; each is cut evenly into buckets.
 INTERVALS = 128
 #: Buckets of neighbouring documents to a shuffle partition.
@@ -50,9 +48,7 @@ def anchors(words: Column) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the fingerprint of a text column that isn't null, as an array of long."""
     df = df.withColumn("__words", F.transform(F.array_remove(F.split(F.col(text), r"\s+"), ""), lambda w: F.xxhash64(w)))
-    df = df.withColumn("__anchors", F.array_distinct(anchors(F.col("__words")))).drop("__words")
-    least = F.slice(F.sort_array("__anchors"), 1, SIZE)
-    return df.withColumn(out, F.array_intersect("__anchors", least)).drop("__anchors")  # in the order of the first
+    return df.withColumn(out, anchors(F.col("__words"))).drop("__words")
 
 
 def as_text(prints: Column) -> Column:
@@ -61,11 +57,10 @@ def as_text(prints: Column) -> Column:
 
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """``df`` with the likeness, from 0 to 1, of two columns of fingerprints."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    df = df.withColumn("__both", both)
-    shared = lambda x, y: F.array_intersect(F.array_intersect(x, y), F.col("__both"))
-    same = F.size(F.array_compact(F.zip_with(shared(a, b), shared(b, a), lambda x, y: F.when(x == y, x))))
-    return df.withColumn(out, F.when(F.size("__both") == 0, 1.0).otherwise(same / F.size("__both"))).drop("__both")
+    df = df.withColumn("__both", F.size(F.array_union(a, b)))
+    shared = F.array_intersect(a, b), F.array_intersect(b, a)  # each distinct, in the order of its first
+    same = F.size(F.array_compact(F.zip_with(*shared, lambda x, y: F.when(x == y, x))))
+    return df.withColumn(out, F.when(F.col("__both") == 0, 1.0).otherwise(same / F.col("__both"))).drop("__both")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -97,7 +92,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     follow = follow.select(rows.doc_id, rows.text, rows.h, ghosts.bucket).dropDuplicates(["bucket"])
     every = rows.select("doc_id", "text", "h", "bucket", F.lit(0).alias("ghost")).unionByName(follow.withColumn("ghost", F.lit(1)))
 
-    every = with_fingerprint(every, "text", "print")
+    every = with_fingerprint(every.repartition("bucket"), "text", "print")  # anchors aren't shuffled, but made where texts arrive
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h")
     every = every.select("doc_id", "ghost", "text", "print", F.lead("text").over(order).alias("next"), F.lead("print").over(order).alias("next_print")).where("ghost = 0")
     n = F.length("text")

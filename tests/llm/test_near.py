@@ -121,6 +121,24 @@ def test_closed_syncmers_by_hand(spark):
     assert rows.first().a == expected
 
 
+def test_every_anchor_of_a_long_text_counts(spark):
+    """All anchors are kept, in text order; each edit of a word shows; a shared passage has anchors in both texts."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in rng.integers(0, 100_000, 5000)]
+    passage = [f"p{k}" for k in range(50)]
+    edits = [words[:at] + ["edited"] + words[at + 1 :] for at in range(100, 5000, 490)]
+    others = [[f"x{n}y{k}" for k in range(3000)] for n in range(2)]
+    texts = [" ".join(w) for w in [words, *edits, others[0] + passage, passage + others[1]]]
+    rows = syncmers.fingerprints(documents(spark, *enumerate(texts))).orderBy("doc_id").collect()
+    hashes = F.transform(F.split("t", " "), lambda w: F.xxhash64(w))
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", syncmers.as_text(syncmers.anchors(hashes)).alias("a"))
+    assert [r.fingerprint for r in rows] == [r.a for r in frame.orderBy("k").collect()]
+    assert len({r.fingerprint for r in rows}) == len(texts) and len(rows[0].fingerprint) > 8 * 2500
+    assert all(0.9 < r.near_next < 1 for r in rows[: len(edits)])
+    codes = [{r.fingerprint[k : k + 8] for k in range(0, len(r.fingerprint), 8)} for r in rows[-2:]]
+    assert len(codes[0] & codes[1]) >= 20 and rows[-2].near_next > 0
+
+
 def test_fingerprints_of_odd_tables(spark):
     docs = documents(spark, (1, None), (None, "a b c d e"), (3, "x"), (3, "x"))
     assert [r.doc_id for r in syncmers.fingerprints(docs).orderBy(F.col("doc_id").asc_nulls_first()).collect()] == [None, 1, 3, 3]
