@@ -9,15 +9,18 @@ Build: blocks of neighbours in a few random orders give a first graph. In each
 round, the neighbours of a vertex, those it points to and a bounded sample of
 those that point to it, meet in a join on that vertex: pairs of them, one new
 since the last round, are candidates for one another, and a vertex keeps the best
-NEIGHBOURS. Rounds end when few edges change.
+of its neighbours. Rounds end when few edges change.
 
-Search: a beam of the best BEAM vertices for each query, from the query's own
+Search: a beam of the best vertices for each query, from the query's own
 vertex if it has one and from the nearest of a fixed number of entries. The
 best vertices not yet expanded are joined with the graph, their neighbours are
 scored, and the beam keeps the best, until all in it are expanded. The rows
 behind the vertices found are ranked by the exact product of the original
 vectors.
 
+Beyond GROWN_FROM vertices, neighbours, reverse sample, offers, entries and beam
+grow with their number (``Sizes``), as a fixed beam finds less in a larger set.
+
 Vectors are found approximately; the tests measure recall against brute force.
 On 51,300 vectors of 64 components the 20 nearest are found with recall 0.95.
 
@@ -31,7 +34,9 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +51,31 @@ REVERSE = 20
 #: Candidates that one meeting gives a vertex.
 OFFERS = 12
 ORDERS, ORDER_BLOCK, SIGNS = 4, 512, 12
-MAX_ROUNDS, FEW_CHANGES = 6, 0.03
+#: Rounds end at FEW_CHANGES; MAX_ROUNDS only keeps a build that doesn't settle from going on for ever.
+MAX_ROUNDS, FEW_CHANGES = 30, 0.03
 BEAM, WIDTH = 192, 96
 #: Vertices among which each query's first ones are looked for, and how many of them it gets.
 ENTRIES, ENTER = 256, 4
+#: Vertices up to which these numbers are enough, and the powers by which neighbours (with reverse sample and offers), beam and entries grow beyond.
+GROWN_FROM, MORE_NEIGHBOURS, MORE_BEAM, MORE_ENTRIES = 50_000, 0.25, 0.8, 0.5
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """The numbers for a set of vertices."""
+
+    neighbours: int
+    reverse: int
+    offers: int
+    beam: int
+    width: int
+    entries: int
+
+    @classmethod
+    def of(cls, vertices: int) -> Sizes:
+        grown = max(1.0, vertices / GROWN_FROM)
+        up = lambda n, power: math.ceil(n * grown**power)
+        return cls(*(up(n, MORE_NEIGHBOURS) for n in (NEIGHBOURS, REVERSE, OFFERS)), *(up(n, MORE_BEAM) for n in (BEAM, WIDTH)), up(ENTRIES, MORE_ENTRIES))
 
 
 def _shuffles(df: DataFrame) -> int:
@@ -106,14 +132,14 @@ def _edges(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(node), pa.array(nbr), pa.array(sim.astype(np.float32))], names=["node", "nbr", "sim"])
 
 
-def _best_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _best_of_blocks(batches: Iterator[pa.RecordBatch], neighbours: int) -> Iterator[pa.RecordBatch]:
     """Each vertex' best in its block of an order. Rows come sorted, with the order's number first."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         node, x = table.column(1).to_numpy(), _matrix(table.column(2).combine_chunks()).astype(np.float32)
         sims = x @ x.T
         np.fill_diagonal(sims, -np.inf)
-        k = min(NEIGHBOURS, len(node) - 1)
+        k = min(neighbours, len(node) - 1)
         best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         return _edges(np.repeat(node, k), node[best].ravel(), np.take_along_axis(sims, best, 1).ravel())
 
@@ -141,7 +167,7 @@ def _order(dims: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], offers: int) -> Iterator[pa.RecordBatch]:
     """Candidates from each vertex' neighbours: rows of the vertex, a neighbour, whether new, its worst edge, its vector.
 
     Rows come sorted by the first three, so that of a neighbour met both ways the new row is last, and it counts.
@@ -162,7 +188,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = new[rows]
             fits = (fresh[:, :, None] | fresh[:, None, :]) & (sims > worst[rows][:, :, None]) & ~np.eye(size, dtype=bool)
             sims[~fits] = -np.inf
-            k = min(OFFERS, size - 1)
+            k = min(offers, size - 1)
             best = np.argpartition(-sims, k - 1, axis=2)[:, :, :k]
             top = np.take_along_axis(sims, best, 2)
             keep = np.isfinite(top)
@@ -173,34 +199,36 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build(scratch: Scratch, points: DataFrame, dims: int) -> DataFrame:
-    """Edges ``node``, ``nbr``, ``sim`` of each vertex' NEIGHBOURS best found. ``points``: ``node`` and ``x``, its bytes as half floats."""
+    """Edges ``node``, ``nbr``, ``sim`` of each vertex' best neighbours found. ``points``: ``node`` and ``x``, its bytes as half floats."""
     n = _shuffles(points)
-    parts = max(1, min(n, ORDERS * points.count() // ORDER_BLOCK))
+    vertices = points.count()
+    sizes = Sizes.of(vertices)
+    parts = max(1, min(n, ORDERS * vertices // ORDER_BLOCK))
     orders = scratch.keep(points.mapInArrow(_order(dims), "number int, node long, x binary, code int, at float"), "orders")
     dealt = orders.repartitionByRange(parts, "number", "code", "at", "node").sortWithinPartitions("number", "code", "at", "node")
-    found = dealt.select("number", "node", "x").mapInArrow(_best_of_blocks, _EDGES).withColumn("new", F.lit(True))
-    graph = scratch.keep(_best(found, n), "graph0")
+    found = dealt.select("number", "node", "x").mapInArrow(lambda batches: _best_of_blocks(batches, sizes.neighbours), _EDGES).withColumn("new", F.lit(True))
+    graph = scratch.keep(_best(found, n, sizes.neighbours), "graph0")
     scratch.drop("orders")
     total, nothing = graph.count(), F.lit(float("-inf")).cast("float")
     for turn in range(1, MAX_ROUNDS + 1):
-        worst = graph.where(F.col("r") == NEIGHBOURS).select(F.col("node").alias("member"), F.col("sim").alias("worst"))
+        worst = graph.where(F.col("r") == sizes.neighbours).select(F.col("node").alias("member"), F.col("sim").alias("worst"))
         members = points.withColumnRenamed("node", "member").join(worst, "member", "left").select("member", F.coalesce("worst", nothing).alias("worst"), "x")
         back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("member"), "new", F.xxhash64("node", "nbr", F.lit(turn)).alias("h"))
-        back = back.withColumn("b", _rank("node", F.desc("new"), F.col("h"))).where(F.col("b") <= REVERSE)
+        back = back.withColumn("b", _rank("node", F.desc("new"), F.col("h"))).where(F.col("b") <= sizes.reverse)
         meets = graph.select("node", F.col("nbr").alias("member"), "new").unionByName(back.select("node", "member", "new"))
         meets = meets.join(members, "member").repartition(n, "node").sortWithinPartitions("node", "member", "new")
-        offers = meets.select("node", "member", "new", "worst", "x").mapInArrow(_meet, _EDGES).withColumn("new", F.lit(True))
-        graph = scratch.keep(_best(graph.select("node", "nbr", "sim", F.lit(False).alias("new")).unionByName(offers), n), f"graph{turn}")
+        offers = meets.select("node", "member", "new", "worst", "x").mapInArrow(lambda batches: _meet(batches, sizes.offers), _EDGES).withColumn("new", F.lit(True))
+        graph = scratch.keep(_best(graph.select("node", "nbr", "sim", F.lit(False).alias("new")).unionByName(offers), n, sizes.neighbours), f"graph{turn}")
         scratch.drop(f"graph{turn - 1}")
         if graph.where("new").count() <= FEW_CHANGES * total:
             break
     return graph.select("node", "nbr", "sim")
 
 
-def _best(edges: DataFrame, n: int) -> DataFrame:
+def _best(edges: DataFrame, n: int, neighbours: int) -> DataFrame:
     """The best edges of each vertex with their rank ``r``; an edge that was there isn't new."""
     merged = edges.repartition(n, "node").groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    return merged.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= NEIGHBOURS)
+    return merged.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= neighbours)
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +240,15 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame:
     """``query``, ``node`` for the vertices in each query's beam. ``queries``: ``query``, ``x`` and ``own``, its vertex or null."""
+    sizes = Sizes.of(points.count())
     back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim")
-    back = back.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= REVERSE)
+    back = back.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= sizes.reverse)
     out = graph.select("node", "nbr").unionByName(back.select("node", "nbr")).distinct()
     near = scratch.keep(out.groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "adjacent")  # a bounded list
     vectors = points.select("node", F.col("x").alias("xn"))
     asked = queries.select("query", F.col("x").alias("xq"))
 
-    entries = points.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
+    entries = points.orderBy(F.xxhash64("node"), "node").limit(sizes.entries).collect()
     ids, x = np.array([r.node for r in entries]), np.stack([np.frombuffer(r.x, "<f2") for r in entries]).astype(np.float32)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +266,9 @@ def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataF
 
     def cut(rows: DataFrame) -> DataFrame:
         """The beam, and of the vertices in it that aren't expanded the best, which are next."""
-        kept = rows.withColumn("r", _rank("query", F.desc("sim"), F.col("node"))).where(F.col("r") <= BEAM)
+        kept = rows.withColumn("r", _rank("query", F.desc("sim"), F.col("node"))).where(F.col("r") <= sizes.beam)
         left = F.sum(F.when(~F.col("expanded"), 1).otherwise(0)).over(Window.partitionBy("query").orderBy("r"))
-        return kept.select("query", "node", "sim", "expanded", (~F.col("expanded") & (left <= WIDTH)).alias("next"))
+        return kept.select("query", "node", "sim", "expanded", (~F.col("expanded") & (left <= sizes.width)).alias("next"))
 
     beam = scratch.keep(cut(scored(start)), "beam0")
     step = 0

@@ -173,6 +173,25 @@ def test_recall(spark):
     assert np.mean([len(set(found[q]) & set(want[q])) / 20 for q in want]) >= 0.95
 
 
+def test_recall_of_a_larger_set(spark, monkeypatch):
+    """With all numbers cut, recall of 4,000 vectors holds as they grow from a smaller set on; it falls if they stay."""
+    for name, value in (("NEIGHBOURS", 6), ("REVERSE", 4), ("OFFERS", 3), ("BEAM", 16), ("WIDTH", 8), ("ENTRIES", 32)):
+        monkeypatch.setattr(ann, name, value)
+    x = np.random.default_rng(3).standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = vectors(spark, [(k, v.tolist()) for k, v in enumerate(x)])
+    x = x.astype(np.float32).astype(np.float64)
+    recall = {}
+    for start in (250, 4000):
+        monkeypatch.setattr(ann, "GROWN_FROM", start)
+        found = {}
+        for r in ann.nearest(df, F.col("vec_id") % 40 == 0, 10).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        want = brute(list(range(4000)), x, sorted(found), 10)
+        recall[start] = np.mean([len(found[q] & set(want[q])) / 10 for q in want])
+    assert recall[250] >= 0.9 > recall[4000]
+
+
 def test_equal_vectors_and_lengths(spark):
     """Copies rank by id; unequal norms count; all candidates are found in a small set."""
     rng = np.random.default_rng(4)
