@@ -42,6 +42,18 @@ def fields_of_class(fields: DataFrame, cls: str) -> DataFrame:
     return fields.where(F.col("cls_dex") == cls).select("name", "type")
 
 
+def text_of(classes: DataFrame, bodies: DataFrame, name: str) -> DataFrame:
+    """The text of the class with that name or key, or else under that name; NotFound without a row or a text."""
+    row = resolve_class(classes, name).select("fqn").first()
+    found = bodies.where(F.col("fqn") == (row.fqn if row else name)).orderBy("cls_idx").limit(1).select(F.col("fqn").alias("class"), F.col("body").alias("source"))
+    one = found.first()
+    if one is None:
+        raise NotFound(f"class not found: {name}" if row is None else f"no text of class: {name}")
+    if one.source is None:
+        raise NotFound(f"no text of class: {name}")
+    return found
+
+
 def body_of_class(bodies: DataFrame, cls_idx: int) -> DataFrame:
     """The text of a class; a null text stays null."""
     return bodies.where(F.col("cls_idx") == cls_idx).select(F.col("fqn").alias("class"), F.col("body").alias("source"))

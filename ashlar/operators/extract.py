@@ -33,12 +33,12 @@ def manifest_package(xml: Column) -> Column:
 
 
 def main_activity(xml: Column) -> Column:
-    """The first activity, or else alias, that a launcher starts; relative names get the package."""
+    """The first activity, or else alias, that a launcher starts by a filter of its own; relative names get the package."""
     package = manifest_package(xml)
     found = F.lit(None).cast("string")
     for tag in ("activity-alias", "activity"):  # the last is tried first
         for attribute in ("@name", NAME):
-            name = F.xpath_string(xml, F.lit(f"(//{tag}[.//{MAIN}])[1]/{attribute}"))
+            name = F.xpath_string(xml, F.lit(f"(//{tag}[{MAIN}])[1]/{attribute}"))
             found = F.when(name != "", name).otherwise(found)
     full = F.when(found.startswith("."), F.concat(package, found)).when(~F.contains(found, F.lit(".")), F.concat(package, F.lit("."), found)).otherwise(found)
     return _guarded(xml, F.coalesce(full, found))

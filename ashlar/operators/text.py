@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
 from .paging import first, int_arg
 
-INDEX, SCAN, NONE = "index", "scan", "none"
+INDEX, SUBSTRING, SCAN, NONE = "index", "substring", "scan", "none"
 LINES_A_CLASS, SNIPPET = 3, 240
+#: Folders of stored postings, and the trigrams of a term that choose the texts to read.
+BUCKETS, RAREST = 64, 3
 _REGEX_SIGNS = re.compile(r"[\\^$.|?*+()\[\]{}]")
 
 
@@ -49,13 +51,19 @@ def scan_lines(bodies: DataFrame, pattern: str, regex: bool) -> DataFrame:
     return hits.select(F.coalesce("fqn", F.concat(F.lit("#"), F.col("cls_idx"))).alias("class"), "cls_idx", "line_no", cut.alias("snippet"))
 
 
-def search_code(bodies: DataFrame, term: str, regex: bool = False, limit: object = 100) -> DataFrame:
-    """engine, class, cls_idx and (from a scan) snippet, in class order."""
+def search_code(bodies: DataFrame, term: str, regex: bool = False, limit: object = 100, index: DataFrame | None = None) -> DataFrame:
+    """engine, class, cls_idx and (from a scan) snippet, in class order.
+
+    With stored postings, the engine of a plain term is the index, which names the texts to read; without, all texts are read.
+    """
     engine = engine_for(term, regex)
+    if engine == INDEX and index is None:
+        engine = SUBSTRING
     if engine == NONE:
         rows = bodies.select(F.col("fqn").alias("class"), "cls_idx", F.lit(0).alias("line_no"), F.lit("").alias("snippet")).where(F.lit(False))
-    elif engine == INDEX:
-        rows = search_bodies(bodies, term).withColumns({"line_no": F.lit(0), "snippet": F.lit(None).cast("string")})
+    elif engine in (INDEX, SUBSTRING):
+        hits = search_bodies(bodies, term) if index is None else search_by_index(bodies, index, term)
+        rows = hits.withColumns({"line_no": F.lit(0), "snippet": F.lit(None).cast("string")})
     else:
         rows = scan_lines(bodies, term, regex)
     rows = first(rows, limit, "cls_idx", "line_no", default=100, most=1000)
@@ -67,19 +75,43 @@ def postings(bodies: DataFrame) -> DataFrame:
     return bodies.select(F.explode(strings.trigrams(F.col("body"))).alias("gram"), "cls_idx")
 
 
+def gram_bucket(gram: Column) -> Column:
+    """The folder of stored postings that a trigram is in."""
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def _grams(term: str) -> list[str]:
+    low = term.lower()
+    return sorted({low[k : k + 3] for k in range(len(low) - 2)})
+
+
+def _of_grams(index: DataFrame, grams: list[str]) -> DataFrame:
+    """The postings of some trigrams; stored ones are read from those trigrams' folders only."""
+    if "bucket" in index.columns:
+        rows = index.sparkSession.createDataFrame([(g,) for g in grams], "gram string").select(gram_bucket(F.col("gram")).alias("b")).distinct().collect()
+        index = index.where(F.col("bucket").isin([r.b for r in rows]))
+    return index.where(F.col("gram").isin(grams))
+
+
 def candidates(index: DataFrame, term: str) -> DataFrame:
     """The classes that have all of the term's trigrams. Those that hold the term are among them."""
-    low = term.lower()
-    grams = sorted({low[k : k + 3] for k in range(len(low) - 2)})
+    grams = _grams(term)
     if not grams:
         return index.select("cls_idx").distinct()
-    hits = index.where(F.col("gram").isin(grams)).groupBy("cls_idx").agg(F.count_distinct("gram").alias("n"))
+    hits = _of_grams(index, grams).groupBy("cls_idx").agg(F.count_distinct("gram").alias("n"))
     return hits.where(F.col("n") == len(grams)).select("cls_idx")
 
 
 def search_by_index(bodies: DataFrame, index: DataFrame, term: str) -> DataFrame:
-    """As ``search_bodies``, reading only the candidates' texts."""
-    return search_bodies(bodies.join(candidates(index, term), "cls_idx", "left_semi"), term)
+    """As ``search_bodies``, reading only texts that have the term's RAREST trigrams of fewest postings."""
+    grams = _grams(term)
+    if "bucket" in index.columns and len(grams) > RAREST:
+        counts = {r.gram: r.n for r in _of_grams(index, grams).groupBy("gram").agg(F.count("*").alias("n")).collect()}  # a row for each of the term's
+        grams = sorted(grams, key=lambda g: (counts.get(g, 0), g))[:RAREST]
+    if not grams:
+        return search_bodies(bodies, term)
+    hits = _of_grams(index, grams).groupBy("cls_idx").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
+    return search_bodies(bodies.join(hits.select("cls_idx"), "cls_idx", "left_semi"), term)
 
 
 def const_strings(bodies: DataFrame) -> DataFrame:
@@ -105,6 +137,6 @@ def string_usages(literals: DataFrame, classes: DataFrame, value: str, contains:
     return first(rows, limit, "class", "string")
 
 
-def capped_note(returned: int, limit: object) -> str | None:
+def capped_note(returned: int, limit: object, default: int = 100, most: int = 1000) -> str | None:
     """The note on a result that may have been cut; a result as long as the limit has it too."""
-    return "capped at limit" if returned >= int_arg(limit, 100, 1, 1000) else None
+    return "capped at limit" if returned >= int_arg(limit, default, 1, most) else None

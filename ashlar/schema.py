@@ -24,6 +24,7 @@ EDGES = _struct(src=StringType, dst=StringType, type=IntegerType)
 METHODS = _struct(cls_dex=StringType, dex_id=StringType, name=StringType, descriptor=StringType, return_type=StringType, constructor=BooleanType)
 FIELDS = _struct(cls_dex=StringType, dex_id=StringType, name=StringType, type=StringType)
 BODIES = _struct(cls_idx=LongType, fqn=StringType, pkg=StringType, body=StringType)
+POSTINGS = _struct(gram=StringType, cls_idx=LongType)
 LITERALS = _struct(str=StringType, cls_idx=LongType)
 RESOURCES = _struct(name=StringType, content=StringType)
 RENAMES = _struct(seq=LongType, type=StringType, cls=StringType, id=StringType, new_name=StringType)

@@ -7,7 +7,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.stored import Stored
 from .sources.views import Tables
+from .streaming.build import READY, Index
 
 
 class Session:
@@ -15,19 +17,34 @@ class Session:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.tables: Tables | None = None
+        self.tables: Tables | Stored | None = None
+        self.index: Index | None = None
+        self.journal: DataFrame | None = None
         self.cached: list[DataFrame] = []
 
-    def load(self, folder: str) -> DataFrame:
-        """Validate the folder and make its tables the current ones; one row of what was loaded."""
+    def load(self, folder: str, deobf: bool = False) -> DataFrame:
+        """Make a folder's tables the current ones; one row of what was loaded.
+
+        A folder with an index, as a build leaves it, gives its own tables, the journal of renames in it and its state;
+        any other is taken to hold the star schema's tables. ``deobf`` is noted: names are made where rows come from.
+        """
         began = time.time()
-        tables = Tables(self.spark, folder)
+        index = Index(self.spark, folder)
+        stored = bool(index.meta())
+        tables = Stored(self.spark, folder) if stored else Tables(self.spark, folder)
         classes = tables.classes.count()  # an error if there is no such folder
         self.close()
-        self.tables = tables
-        return self.spark.createDataFrame([(True, classes, folder, int(1000 * (time.time() - began)))], "loaded boolean, classes long, folder string, load_ms long")
+        self.tables, self.index = tables, index if stored else None
+        if stored and index.exists("renames"):
+            self.journal = tables.renames
+        row = (True, classes, folder, bool(deobf), int(1000 * (time.time() - began)), self.state())
+        return self.spark.createDataFrame([row], "loaded boolean, classes long, folder string, deobf boolean, load_ms long, index string")
+
+    def state(self) -> str:
+        """The state of the index; tables without one are whole."""
+        return self.index.state() if self.index else READY
 
-    def current(self) -> Tables:
+    def current(self) -> Tables | Stored:
         if self.tables is None:
             raise LookupError("nothing is loaded")
         return self.tables
@@ -50,4 +67,4 @@ class Session:
 
     def close(self) -> None:
         self.clear_cache()
-        self.tables = None
+        self.tables = self.index = self.journal = None

@@ -130,7 +130,59 @@ class Tables:
     def resources(self) -> DataFrame:
         return self.read("pages").select(F.col("url").alias("name"), F.col("html").alias("content"))
 
+    #: There is no stored index of these texts.
+    postings = None
+
+    @property
+    def literal_classes(self) -> DataFrame:
+        """The classes that literals belong to."""
+        return self.raw_bodies
+
+    @property
+    def bodies_by_key(self) -> DataFrame:
+        """Texts by a class' key: a customer's is the document of that number."""
+        return self.bodies.withColumn("cls_dex", F.concat(F.lit("C/"), "cls_idx"))
+
     @property
     def renames(self) -> DataFrame:
-        rows = [(1, "CLASS", "C/1", None, "Alice"), (2, "CLASS", "C/2", None, "Bob"), (3, "CLASS", "C/1", None, "Alicia"), (4, "FIELD", "B/Brand#2", "P0", "ring")]
-        return self.spark.createDataFrame(rows, RENAMES)
+        """A journal: some names typed, and one of each of the first orders."""
+        rows = [(1, "CLASS", "C/1", None, "Alice"), (2, "CLASS", "C/2", None, "Bob"), (3, "CLASS", "C/1", None, "Alicia"), (4, "FIELD", "B/Brand#2", "P0", "ring"), (5, "PACKAGE", "cust", None, "buyer"), (6, "PACKAGE", "cust.BUILDING", None, "firm"), (7, "ODD", "C/3", None, "no")]
+        orders = self.read("orders").where("o_orderkey < 5")
+        order = F.col("o_orderkey").cast("string")
+        named = orders.select((100 + F.col("o_orderkey")).cast("long").alias("seq"), F.lit("METHOD").alias("type"), _id("C", "o_custkey").alias("cls"), F.concat(F.lit("o"), order).alias("id"), F.concat(F.lit("settle"), order).alias("new_name"))
+        return self.spark.createDataFrame(rows, RENAMES).unionByName(named)
+
+    @property
+    def string_files(self) -> DataFrame:
+        """Resources, one for each brand with its parts as named strings, among others that aren't such files."""
+        element = F.concat(F.lit('  <string translatable="false" name="p'), F.col("p_partkey").cast("string"), F.lit('">\n '), "p_name", F.lit(" &amp; "), "p_type", F.lit("\t</string>"))
+        files = self.read("part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(element)), "\n").alias("all"))  # a brand's file
+        files = files.select(F.concat(F.lit("res/"), "p_brand", F.lit("/strings.xml")).alias("name"), F.concat(F.lit("<resources>\n"), "all", F.lit("\n</resources>")).alias("content"))
+        return _union(files, files.select(F.concat("name", F.lit(".bak")).alias("name"), "content"), self.resources)
+
+    @property
+    def manifests(self) -> DataFrame:
+        """A manifest of each supplier, in turn with a plain activity, an alias, none, a declared type, and a filter that isn't the activity's own."""
+        key, turn = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 5
+        starts = '<intent-filter><action android:name="android.intent.action.MAIN"/><category android:name="android.intent.category.LAUNCHER"/></intent-filter>'
+        head = F.concat(F.lit('<manifest xmlns:android="a" package="com.s'), key, F.lit('"><application>'))
+        tail = F.lit("</application></manifest>")
+        plain = F.concat(head, F.lit('<activity android:name=".Main'), key, F.lit(f'">{starts}</activity>'), tail)
+        alias = F.concat(head, F.lit('<activity android:name="Other"/><activity-alias android:name="Alias'), key, F.lit(f'">{starts}</activity-alias>'), tail)
+        none = F.concat(F.lit('<manifest package="com.s'), key, F.lit('"/>'))
+        typed = F.concat(F.lit('<!DOCTYPE manifest [<!ENTITY e "x">]>'), head, tail)
+        deep = F.concat(head, F.lit(f'<activity android:name="Deep"><wrapper>{starts}</wrapper></activity><activity android:name="com.y.Full"><intent-filter/>{starts}</activity>'), tail)
+        content = F.when(turn == 0, plain).when(turn == 1, alias).when(turn == 2, none).when(turn == 3, typed).otherwise(deep)
+        return self.read("supplier").select(F.concat(F.lit("supp"), key, F.lit("/AndroidManifest.xml")).alias("name"), content.alias("content"))
+
+    @property
+    def order_sources(self) -> DataFrame:
+        """A class text for each order: a method with nested braces, one without a body and one that never ends."""
+        key, turn = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+        before = F.concat(F.lit("class O {\n  int a() { return 1; }\n  int o"), key)
+        nested = F.concat(before, F.lit("(int x) {\n    if (x > 0) { return 1; }\n    return 0;\n  }\n  void z() {}\n}"))
+        declared = F.concat(before, F.lit("(int x);\n"))
+        endless = F.concat(before, F.lit("(int x) { { }\n"), F.lit("y" * 500))
+        other = F.lit("class O {}")
+        source = F.when(turn == 0, nested).when(turn == 1, declared).when(turn == 2, endless).otherwise(other)
+        return self.read("orders").select("o_orderkey", F.concat(F.lit("o"), key).alias("name"), source.alias("source"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ashlar.functions import strings
 from ashlar.operators import catalog, extract, graph, overlay, paging, text
 from ashlar.plans import registry
-from ashlar.schema import BODIES, CLASSES, EDGES, RENAMES, SYMBOLS
+from ashlar.schema import BODIES, CLASSES, EDGES, METHODS, RENAMES, RESOURCES, SYMBOLS
 from ashlar.session import Session
 from ashlar.sources import journal
+from ashlar.streaming.build import Index
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,7 +72,7 @@ def bodies(spark, *rows):
 
 def test_search_code(spark):
     df = bodies(spark, (1, "p.A", "p", "onCreate()\nx\nonCreate()\n foo(1)\n foo(2)\n foo(3)\n foo(4)"), (2, None, None, "ÉCOLE " + "z" * 300), (3, "p.C", "p", None), (4, "p.D", "p", ""))
-    assert [tuple(r) for r in text.search_code(df, "ONCREATE").collect()] == [("index", "p.A", 1, None)]
+    assert [tuple(r) for r in text.search_code(df, "ONCREATE").collect()] == [("substring", "p.A", 1, None)]
     assert [r["class"] for r in text.search_code(df, "école").collect()] == ["#2"]
     assert text.search_code(df, "ecole").collect() == []
     assert [r.snippet for r in text.search_code(df, "foo(").collect()] == ["foo(1)", "foo(2)", "foo(3)"]
@@ -144,7 +145,7 @@ def test_ambiguous_method(spark):
         overlay.rename_method(classes, methods, empty, "p.A", "f(x)", "g")
     assert e.value.descriptors == ["f(I)", "f(J)"]
     (row,) = overlay.rename_method(classes, methods, empty, "p.A", "f", "g", "f(J)").collect()
-    assert tuple(row) == (1, "METHOD", "A", "f(J)", "g")
+    assert tuple(row) == (1, "METHOD", "A", "f2", "g")  # the rest of its key
     with pytest.raises(catalog.NotFound):
         overlay.rename_method(classes, methods, empty, "p.A", "zz", "g")
 
@@ -172,19 +173,83 @@ def test_registry(spark):
     assert registry.answer(session, "get_xrefs_to_class", {"class_name": "C/none"})["is_error"]
     calls = {
         "current_apk": {}, "index_status": {}, "get_all_classes": {"limit": 3}, "get_package_tree": {}, "get_methods_of_class": {"class_name": "C/1"}, "get_fields_of_class": {"class_name": "B/Brand#1"},
-        "get_class_source": {"class_name": "fr.src0.D0"}, "search_string_constants": {"query": "the"}, "find_string_usages": {"value": "en"}, "get_xrefs_to_class": {"class_name": "N/7"},
-        "get_xrefs_to_field": {"class_name": "B/Brand#1", "field_name": "large widget"}, "get_xrefs_from_class": {"class_name": "C/1"}, "get_call_graph": {"class_name": "C/1"}, "get_subclasses": {"class_name": "R/0"},
+        "get_class_source": {"class_name": "fr.src2.D2"}, "search_string_constants": {"query": "the"}, "find_string_usages": {"value": "en"}, "get_xrefs_to_class": {"class_name": "N/7"},
+        "get_xrefs_to_field": {"class_name": "B/Brand#1", "field_name": "blue anvil"}, "get_xrefs_from_class": {"class_name": "C/1"}, "get_call_graph": {"class_name": "C/1"}, "get_subclasses": {"class_name": "R/0"},
         "get_android_manifest": {}, "list_resource_files": {"limit": 2}, "search_in_code": {"query": "the"}, "search_classes_by_keyword": {"keyword": "cust"}, "search_method_by_name": {"method_name": "o1"},
     }
     for name, args in calls.items():
         out = registry.answer(session, name, args)
         assert "error" not in out, (name, out)
-    old = registry.call(session, "get_all_classes", {"limit": 1}).first()["class"]
-    assert registry.answer(session, "rename_class", {"class_name": old, "new_name": "Zed"})["rows"] == [{"result": "renamed"}]
-    assert registry.call(session, "search_classes_by_keyword", {"keyword": "zed"}).count() == 1  # at once
+    for name, args in {"get_fields_of_class": {"class_name": "none"}, "get_class_source": {"class_name": "none"}, "get_smali_of_class": {"class_name": "none"}, "get_resource_file": {"name": "none"}}.items():
+        assert "not found" in registry.answer(session, name, args)["error"]
+    assert registry.answer(session, "search_in_code", {"query": "the", "limit": 2})["note"] == "capped at limit"
     assert registry.call(session, "clear_cache").first().result == "cleared"
 
 
+def test_renames_show_in_every_operator(spark):
+    session = Session(spark)
+    session.load(FOLDER)
+    ask = lambda name, **a: registry.answer(session, name, a)["rows"]
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet").where("o_orderkey = 0").first()
+    owner = f"C/{orders.o_custkey}"
+    line = spark.read.parquet(f"{FOLDER}/lineitem.parquet").where("l_orderkey = 0").first()
+    for name, args in {
+        "rename_class": {"class_name": owner, "new_name": "Zed"},
+        "rename_method": {"class_name": owner, "method_name": "o0(int)", "new_name": "settleAll"},
+        "rename_field": {"class_name": "B/Brand#1", "field_name": "blue anvil", "new_name": "gear"},
+        "rename_package": {"old_name": "cust", "new_name": "buyer.far"},
+    }.items():
+        assert ask(name, **args) == [{"result": "renamed"}]
+    (zed,) = ask("search_classes_by_keyword", keyword="zed")
+    assert zed["class"].startswith("buyer.far.") and zed["class"].endswith(".Zed")
+    assert [r["name"] for r in ask("get_methods_of_class", class_name=zed["class"]) if r["descriptor"] == "o0()"] == ["settleAll"]
+    assert [(r["class"], r["method"]) for r in ask("search_method_by_name", method_name="SETTLEALL")] == [(zed["class"], "settleAll")]
+    assert len(ask("get_xrefs_from_method", class_name=zed["class"], method_name="settleAll")) > 0
+    callers = ask("get_xrefs_to_method", class_name=f"S/{line.l_suppkey}", method_name=f"p{line.l_partkey}", limit=2000)
+    assert f"{owner}.settleAll" in {r["display"] for r in callers}
+    assert "gear" in {r["name"] for r in ask("get_fields_of_class", class_name="B/Brand#1")}
+    assert ask("get_xrefs_to_field", class_name="B/Brand#1", field_name="gear")
+    assert {r["package"] for r in ask("get_package_tree")} == {"supp"} | {p for r in ask("get_all_classes", limit=2000) if (p := r["class"].rpartition(".")[0]).startswith("buyer.far.")}
+    assert any(r["class"].startswith("buyer.far.") for r in ask("get_xrefs_to_class", class_name="N/7"))
+    # a package that has been moved goes by its present name; a text's class shows it
+    assert ask("rename_package", old_name="buyer.far", new_name="near")
+    assert ask("get_all_classes", limit=1)[0]["class"].startswith("near.")
+    ask("rename_package", old_name="fr", new_name="gaul")
+    assert ask("get_class_source", class_name="gaul.src2.D2") and any(r["class"].startswith("gaul.") for r in ask("search_in_code", query="pour", limit=1000))
+
+
+def test_a_stored_index_is_a_corpus(spark, tmp_path):
+    classes, symbols, edges = small_graph(spark)
+    index = Index(spark, str(tmp_path / "index"))
+    index.write("classes", classes.unionByName(classes))
+    index.write_graph(symbols, edges)
+    index.write("methods", spark.createDataFrame([("A", "A->m", "m", "m()", "V", False)], METHODS))
+    index.write("resources", spark.createDataFrame([("x/strings.xml", '<string name="a">b</string>')], RESOURCES))
+    session = Session(spark)
+    assert session.load(index.folder).first()["index"] == "BUILDING"
+    ask = lambda name, **a: registry.answer(session, name, a)
+    assert "BUILDING" in ask("get_xrefs_to_class", class_name="p.A")["index_note"]
+    (row,) = ask("index_status")["rows"]
+    assert (row["state"], row["percent"], row["total_classes"], row["edges"]) == ("BUILDING", 0, 2, 8)
+    texts = str(tmp_path / "texts")
+    bodies(spark, (1, "p.A", "p", 'void m() { call("lit"); }'), (2, "p.B", None, "nothing here")).write.parquet(texts)
+    index.write_texts(texts, BODIES, main_package="p")
+    session.load(index.folder)
+    found = ask("search_in_code", query="nothing he")
+    assert [(r["engine"], r["class"]) for r in found["rows"]] == [("index", "p.B")] and "index_note" not in found
+    assert ask("search_in_code", query="absent")["rows"] == []
+    assert [r["code"] for r in ask("get_method_by_name", class_name="p.A", method_name="m")["rows"]] == ['void m() { call("lit"); }']
+    assert ask("search_string_constants", query="LIT")["rows"] == [{"string": "lit", "class": "p.A"}]
+    assert ask("get_strings")["rows"][0]["value"] == "b"
+    assert ask("index_status")["rows"][0]["percent"] == 100
+    ask("rename_class", class_name="p.A", new_name="Z")
+    again = Session(spark)
+    again.load(index.folder)  # the journal is replayed
+    assert [r["class"] for r in registry.answer(again, "search_in_code", {"query": "void"})["rows"]] == ["p.Z"]
+    assert registry.answer(again, "get_class_source", {"class_name": "p.Z"})["rows"][0]["source"].startswith("void")
+    assert "no text" in registry.answer(again, "get_smali_of_class", {"class_name": "p.Z"})["error"]
+
+
 def test_json_keeps_nulls(spark):
     df = spark.createDataFrame([(1, None, 'a"\n')], "i int, n string, s string")
     assert journal.to_json(df).first().json == '{"i":1,"n":null,"s":"a\\"\\n"}'
