@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..ship import ship
 
@@ -17,6 +18,11 @@ from ..ship import ship
 BATCH_ROWS = 1024
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or on a local master with none set a new temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
