@@ -20,8 +20,9 @@ pass is learned from texts that are left out: between what the texts of one half
 of the sample have by the other half and what they have with their letters
 shuffled. With ``reject``, texts below it are ``und``.
 
-The fit reads a bounded sample, ``Sample.texts`` texts of at most
-``Sample.chars`` characters; prediction reads every whole text.
+The fit reads a bounded sample of ``Sample.texts`` whole texts, of which the driver
+gets places of n-grams only; prediction reads every whole text. As the kernel is
+linear in a text's presence, landmarks and weights are multiplied once, in the fit.
 
 Defined cases: a text that is null or without a letter is ``und`` with score 0;
 with no labelled text, every text is ``und`` with score 0; with one label, it is
@@ -39,14 +40,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .scratch import tune
+from .scratch import quoted, tune
 
-SPACE = 1 << 14
+SPACE = 1 << 16
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
 #: Texts whose presence forms one matrix.
-MATRIX_ROWS = 256
+MATRIX_ROWS = 128
 #: Places of trigrams, for familiarity.
 TRIGRAMS = 1 << 22
 
@@ -56,7 +58,6 @@ class Sample:
     """Bounds of what the fit reads."""
 
     texts: int = 600
-    chars: int = 2000
     landmarks: int = 96
     ridge: float = 1e-2
 
@@ -111,8 +112,12 @@ def matrix(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Presence of each text, divided by the root of its n-grams' number; which texts have letters."""
     rows = np.zeros((len(texts), SPACE), dtype=np.uint8)
     known = np.array([presence(t, row) for t, row in zip(texts, rows, strict=True)], dtype=bool)
+    return normed(rows), known
+
+
+def normed(rows: np.ndarray) -> np.ndarray:
     norms = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
-    return rows.astype(np.float32) / norms[:, None], known
+    return rows.astype(np.float32) / norms[:, None]
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -125,34 +130,60 @@ def trigrams(text: str | None) -> np.ndarray:
     return (mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - TRIGRAMS.bit_length() + 1)
 
 
-def familiarity(places: np.ndarray, seen: np.ndarray) -> float:
-    return float(seen[places].mean() + len(places) ** -0.5) if len(places) else 0.0
+def counted(places: np.ndarray) -> np.ndarray:
+    """The distinct places and how often each occurs, as two rows."""
+    return np.stack(np.unique(places, return_counts=True)).astype(np.uint32)
+
+
+def familiarity(grams: np.ndarray, seen: np.ndarray) -> float:
+    """The share of a text's trigrams that is known, and one over the root of their number."""
+    n = int(grams[1].sum())
+    return float(grams[1][seen[grams[0]]].sum() / n + n**-0.5) if n else 0.0
+
+
+def shuffled(text: str) -> str:
+    """The text's letters in another order, its spaces where they were; the same for the same text."""
+    points = letters(text)
+    at = np.flatnonzero(points != 32)
+    points[at] = np.random.default_rng(zlib.crc32(points.tobytes())).permutation(points[at])
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+@dataclass(frozen=True)
+class Taught:
+    """What the fit needs of a text with letters."""
+
+    lang: str
+    presence: np.ndarray  # one byte a place
+    trigrams: np.ndarray  # with their counts
+    shuffled: np.ndarray  # those of its letters shuffled
+
+    @classmethod
+    def of(cls, text: str, lang: str) -> Taught | None:
+        row = np.zeros(SPACE, dtype=np.uint8)
+        return cls(lang, row, counted(trigrams(text)), counted(trigrams(shuffled(text)))) if presence(text, row) else None
 
 
-def seen_in(texts: list[str]) -> np.ndarray:
+def seen_in(places: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(TRIGRAMS, dtype=bool)
-    for text in texts:
-        out[trigrams(text)] = True
+    for some in places:
+        out[some] = True
     return out
 
 
-def least_familiarity(texts: list[str], langs: list[str]) -> float:
+def least_familiarity(taught: list[Taught]) -> float:
     """A bound between the texts' familiarity by others and that of their shuffled letters; 0 if no text is left out."""
     turns: dict[str, int] = {}
-    halves: tuple[list[str], list[str]] = [], []
-    for text, lang in zip(texts, langs, strict=True):  # every other text of each language
-        turns[lang] = turns.get(lang, -1) + 1
-        halves[turns[lang] % 2].append(text)
-    clean, none, rng = [], [], np.random.default_rng(1)
+    halves: tuple[list[Taught], list[Taught]] = [], []
+    for t in taught:  # every other text of each language
+        turns[t.lang] = turns.get(t.lang, -1) + 1
+        halves[turns[t.lang] % 2].append(t)
+    clean, none = [], []
     for own, other in (halves, halves[::-1]):
-        seen = seen_in(other)
-        for text in own if other else ():
-            points = letters(text)
-            if len(points):
-                clean.append(familiarity(trigrams(text), seen))
-                at = np.flatnonzero(points != 32)
-                points[at] = rng.permutation(points[at])
-                none.append(familiarity(trigrams(points.tobytes().decode("utf-32-le", "surrogatepass")), seen))
+        seen = seen_in([t.trigrams[0] for t in other])
+        for t in own if other else ():
+            clean.append(familiarity(t.trigrams, seen))
+            none.append(familiarity(t.shuffled, seen))
     if not clean:
         return 0.0
     low, high = float(np.quantile(clean, 0.01)), float(np.quantile(none, 0.99))
@@ -162,53 +193,47 @@ def least_familiarity(texts: list[str], langs: list[str]) -> float:
 @dataclass(frozen=True)
 class Model:
     labels: list[str]
-    landmarks: np.ndarray  # SPACE x landmarks
-    weights: np.ndarray  # landmarks x labels
+    weights: np.ndarray  # SPACE x labels: the landmarks' presence times their weights
     bias: np.ndarray
     seen: np.ndarray  # trigrams of the sample
     least: float  # familiarity of texts in one of the languages
 
     def foreign(self, text: str | None) -> bool:
         """Whether the text is in none of the languages."""
-        return familiarity(trigrams(text), self.seen) < self.least
+        return familiarity(counted(trigrams(text)), self.seen) < self.least
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.labels or not texts:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         x, known = matrix(texts)
-        values = x @ self.landmarks @ self.weights + self.bias
+        values = x @ self.weights + self.bias
         best = values.argmax(axis=1)
         top = values[np.arange(len(texts)), best]
         score = np.clip((top + 1) / 2, 0, 1)  # a value of 1 is the target of a right label, -1 of a wrong one
         return [self.labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0).astype(float).tolist()
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int, ridge: float) -> Model:
-    labels = sorted(set(langs))
-    none = np.zeros((SPACE, 0), dtype=np.float32), np.zeros((0, len(labels)), dtype=np.float32)
-    x, known = matrix(texts) if texts else (np.zeros((0, SPACE), np.float32), np.zeros(0, bool))
-    x, langs, texts = x[known], *([v for v, k in zip(values, known, strict=True) if k] for values in (langs, texts))
-    labels = sorted(set(langs))
+def fit(taught: list[Taught], landmarks: int, ridge: float) -> Model:
+    labels = sorted({t.lang for t in taught})
     if not labels:
-        return Model([], *none, np.zeros(0, dtype=np.float32), seen_in([]), 0.0)
-    chosen: list[int] = []  # in turn from each language
-    by = [[k for k, lang in enumerate(langs) if lang == label] for label in labels]
-    for turn in range(max(map(len, by))):
-        chosen += [places[turn] for places in by if turn < len(places)]
+        return Model([], np.zeros((SPACE, 0), np.float32), np.zeros(0, np.float32), seen_in([]), 0.0)
+    x = normed(np.stack([t.presence for t in taught]))
+    langs = np.array([t.lang for t in taught])
+    by = [np.flatnonzero(langs == label).tolist() for label in labels]
+    chosen = [places[turn] for turn in range(max(map(len, by))) for places in by if turn < len(places)]  # in turn from each language
     marks = x[chosen[:landmarks]]
-    inner = (marks @ marks.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(inner)
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])  # Nyström: K_mm to the power -1/2
     z = (x @ marks.T).astype(np.float64) @ whiten
-    y = np.where(np.array(langs)[:, None] == np.array(labels), 1.0, -1.0)
+    y = np.where(langs[:, None] == np.array(labels), 1.0, -1.0)
     weight = np.ones(len(langs))
-    for label in labels:  # each language weighs the same
-        weight[np.array(langs) == label] = len(langs) / len(labels) / langs.count(label)
+    for places in by:  # each language weighs the same
+        weight[places] = len(langs) / len(labels) / len(places)
     mean_z, mean_y = np.average(z, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
     zc, yc = z - mean_z, y - mean_y
     w = np.linalg.solve(zc.T @ (zc * weight[:, None]) + ridge * len(langs) * np.eye(zc.shape[1]), zc.T @ (yc * weight[:, None]))
-    return Model(labels, np.ascontiguousarray(marks.T), (whiten @ w).astype(np.float32), (mean_y - mean_z @ w).astype(np.float32), seen_in(texts), least_familiarity(texts, langs))
+    return Model(labels, marks.T @ (whiten @ w).astype(np.float32), (mean_y - mean_z @ w).astype(np.float32), seen_in([t.trigrams[0] for t in taught]), least_familiarity(taught))
 
 
 def fold(doc_id: Column) -> Column:
@@ -216,48 +241,79 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3
 
 
+_TAUGHT = "lang string, ord long, id long, presence binary, trigrams binary, shuffled binary"
+
+
+def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for lang, order, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if t := Taught.of(text, lang):
+                rows.append((lang, order, i, np.packbits(t.presence).tobytes(), t.trigrams.tobytes(), t.shuffled.tobytes()))
+        kinds = (pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _TAUGHT.split(", ")])
+
+
 def learn(docs: DataFrame, sample: Sample = Sample()) -> Model:
     """Fit on a sample, the same for the same rows, of labelled texts that aren't held out.
 
     The sample takes texts by hash in turn from each language, so that all give
     their first before any gives its second, and a language with few gives all
-    it can: the partial aggregate of a task has no more than the bound a language.
+    it can. It is chosen by numbers; only then are the chosen whole texts read.
     """
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, sample.chars).alias("text"))
-    taught = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(F.col("doc_id")), F.lit(0)) != 1))
-    # Buckets of each language's texts by hash; min_by keeps one text of a bucket, so no task holds more than the sample.
-    bucket = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(sample.texts))
-    one = taught.groupBy("lang", bucket.alias("bucket")).agg(F.min(F.struct(F.xxhash64("doc_id", "text").alias("order"), "text")).alias("one"))
+    tune(docs.sparkSession)
+    labelled = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    taught = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(F.col("id")), F.lit(0)) != 1))
+    taught = taught.select("lang", F.xxhash64("id", "text").alias("ord"), "id", "text")
+    # Buckets of each language's texts by hash; one text of each is kept, so no task holds more than the sample's bound a language.
+    bucket = F.pmod(F.xxhash64("ord", "lang"), F.lit(sample.texts))
+    one = taught.groupBy("lang", bucket.alias("bucket")).agg(F.min("ord").alias("ord"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("bucket"))  # at most the bound's rows a language
-    rows = one.withColumn("turn", turn).orderBy("turn", "lang").limit(sample.texts).select("lang", "one.text").collect()
-    return fit([r.text for r in rows], [r.lang for r in rows], sample.landmarks, sample.ridge)
-
-
-def predict(docs: DataFrame, model: Model, *keep: str, reject: bool = False) -> DataFrame:
-    """Rows of ``keep`` (doc_id, if none) and lang_pred and score of every whole text; ``keep`` may name any columns but these.
-
-    With ``reject``, a text in none of the languages is ``und`` with score 0.
-    """
-    spark = docs.sparkSession
+    chosen = one.withColumn("turn", turn).orderBy("turn", "lang").limit(sample.texts).select("lang", "ord").collect()
+    if not chosen:
+        return fit([], sample.landmarks, sample.ridge)
+    wanted = docs.sparkSession.createDataFrame([(r.lang, r.ord) for r in chosen], "lang string, ord long")
+    rows = taught.join(F.broadcast(wanted), ["lang", "ord"], "left_semi").dropDuplicates(["lang", "ord"]).select("lang", "ord", "id", "text")
+    found = {(r.lang, r.ord): r for r in rows.mapInArrow(_taught, _TAUGHT).collect()}
+    places = lambda data: np.frombuffer(data, dtype=np.uint32).reshape(2, -1)
+    use = [found[r.lang, r.ord] for r in chosen if (r.lang, r.ord) in found]
+    return fit([Taught(r.lang, np.unpackbits(np.frombuffer(r.presence, np.uint8)), places(r.trigrams), places(r.shuffled)) for r in use], sample.landmarks, sample.ridge)
+
+
+def _predicted(rows: DataFrame, model: Model, carried: int, reject: bool) -> DataFrame:
+    """The first ``carried`` columns, as c0, c1, ..., and ``lang_pred`` and ``score`` of the column after them, the text."""
+    spark = rows.sparkSession
     tune(spark)
-    keep = keep or ("doc_id",)
-    shared = spark.sparkContext.broadcast(model)  # bounded by the landmarks and TRIGRAMS
+    shared = spark.sparkContext.broadcast(model)  # bounded by SPACE, the languages and TRIGRAMS
+    names = [f"c{k}" for k in range(carried)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, MATRIX_ROWS):
                 part = batch.slice(at, MATRIX_ROWS)
-                texts = part.column(read).to_pylist()
+                texts = part.column(carried).to_pylist()
                 langs, scores = shared.value.predict(texts)
                 if reject:
                     kept = [not shared.value.foreign(t) for t in texts]
                     langs, scores = [x if k else UNKNOWN for x, k in zip(langs, kept, strict=True)], [x * k for x, k in zip(scores, kept, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:carried], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+
+    schema = StructType([StructField(name, f.dataType) for name, f in zip(names, rows.schema.fields, strict=False)])
+    schema = schema.add("lang_pred", StringType()).add("score", DoubleType())
+    return rows.toDF(*names, "text").mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model, *, reject: bool = False) -> DataFrame:
+    """doc_id, lang_pred and score of every whole text; with ``reject``, a text in none of the languages is ``und`` with score 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _predicted(rows, model, 1, reject).withColumnRenamed("c0", "doc_id")
+
 
-    read = "text" if "text" in keep else "__text"
-    rows = docs.withColumn(read, F.col("text").cast("string")).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, read])])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+def in_known_languages(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, all columns as they are, whose text has letters and is in one of the model's languages."""
+    rows = docs.select(*map(quoted, docs.columns), F.col("text").cast("string").alias("__text"))
+    found = _predicted(rows, model, len(docs.columns), True).where(F.col("lang_pred") != UNKNOWN)
+    return found.drop("lang_pred", "score").toDF(*docs.columns)
 
 
 def held_out_crc(doc_id: int) -> bool:
@@ -267,5 +323,5 @@ def held_out_crc(doc_id: int) -> bool:
 
 def identify(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
-    out = predict(docs.withColumn("doc_id", F.col("doc_id").cast("long")), learn(docs, sample))
+    out = predict(docs, learn(docs, sample))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

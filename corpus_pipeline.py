@@ -13,26 +13,44 @@ from ashlar.llm.scratch import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters and in one of the languages that the model learns from their labels."""
-    predicted = lang_kernel.predict(docs, lang_kernel.learn(docs), *docs.columns, reject=True)
-    return predicted.where(F.col("lang_pred") != lang_kernel.UNKNOWN).select(*docs.columns)
+    """Documents with letters and in one of the languages that the model learns from their labels.
+
+    Texts that are null, empty or without letters go, and all if no text is labelled; repeated rows are treated alike;
+    an empty table stays empty; other columns, whatever their names, stay as they are.
+    """
+    return lang_kernel.in_known_languages(docs, lang_kernel.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, that with the least doc_id."""
-    return near_dedup.without_near_duplicates(docs, words=5, percent=80).select(*docs.columns)
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, that with the least doc_id.
+
+    Texts that are null or without words are linked with nothing and stay, as do rows without a doc_id; rows that share
+    the doc_id that stays all stay; an empty table stays empty; other columns stay as they are.
+    """
+    return near_dedup.without_near_duplicates(docs, words=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data and secrets, and n_chars of the new texts."""
-    out = pii.pseudonymize(docs, PII_KEY)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Documents with surrogates for personal data and secrets, and n_chars of the new texts.
+
+    Null and empty texts and their n_chars stay as they are; repeated rows are treated alike; an empty table stays
+    empty; columns named as the operator's own results are replaced by nothing: all columns of the input stay.
+    """
+    columns = docs.columns
+    marked = docs.toDF(*(c if c in ("text", "n_chars") else f"c{k}" for k, c in enumerate(columns)))
+    out = pii.pseudonymize(marked, PII_KEY)
+    changed = F.col("n_entities") > 0
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*marked.columns).toDF(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens.
+
+    A null text is the empty one, which has the end id only; rows with equal or null ids stay apart; an empty table has
+    no pieces; other columns are ignored.
+    """
     return packing.pack(spark, docs, tokenizer("byte_bpe_50k.json"), end_id=0)
 
 

@@ -73,6 +73,16 @@ def test_texts_in_none_of_the_languages_go(spark):
     assert np.mean([i in kept for i in held]) >= 0.995
 
 
+def test_scores_of_long_texts(spark):
+    """Whole texts are read: many joined into one are still told, with a score above that of chance."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lang_kernel.learn(docs)
+    for lang in model.labels:
+        texts = [r.text for r in docs.where((F.col("lang") == lang) & (lang_kernel.fold(F.col("doc_id")) == 1)).limit(60).collect()]
+        langs, scores = model.predict(["\n".join(texts), "1 " * 10**6 + texts[0]])
+        assert langs == [lang, lang] and min(scores) > 1 / len(model.labels)
+
+
 def test_windows_and_scores():
     """The score of each text is the sum, word by word, of what the table and the lexicon give."""
     texts = ["The cat sat. The dog", None, " a\n", "the zebra-cat! xyzzyx the"]
@@ -322,6 +332,20 @@ def test_oracles(spark, name):
     assert sorted(repr(tuple(r[c] for c in names)) for r in df.collect()) == sorted(map(repr, result.fetchall()))
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "the cat sat on the mat with the other cat", "en", "s", 41, 0.5, "x", 7), (2, "le chat est sur la table avec le chien", "fr", "s", 38, None, "y", 8), (3, "the dog and the cat, mail a@b.org to the owner of the mat", "en", None, 57, 0.1, "z", 9), (4, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, `lang_pred` string, `a.b``c` int").withColumns({"entities": F.lit(1), "n_entities": F.lit(2), "__h": F.lit(3), "__removed": F.lit(4), "component_id": F.lit(5)})
+    for some in (docs, docs.limit(0)):
+        now = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, FOLDER)
+            assert now.columns == docs.columns, name
+        kept = {r.doc_id: r for r in now.collect()}
+        assert set(kept) == ({1, 2, 3} if some is docs else set())
+        assert corpus_pipeline.packed(spark, now, FOLDER).count() >= len(kept)
+    assert kept == {} and [r["a.b`c"] for r in corpus_pipeline.personal_data(spark, docs, FOLDER).orderBy("doc_id").collect()] == [7, 8, 9, None]
+
+
 def test_pipeline_stages(spark):
     """Each stage against a plain version of what it should leave."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
