@@ -16,7 +16,9 @@ bit vector in unary and the bit position of every 64th one, by which ``select``
 finds a value after looking at a few words. That is about 2 + log2(u / n) bits a
 value beside the samples' half bit, and there is no table of 64-bit offsets.
 
-Files are in the order of their part number and hold ascending doc_ids.
+Files are in the order of their part's number and their own within it, and hold ascending doc_ids. A file has at most
+FILE_BLOCKS blocks, and a block about BLOCK_BYTES of ids unless one document has more. An id is as wide as the largest
+one of the vocabulary needs. A document's place comes from ``select`` of its end and of the one before.
 
 Defined cases: a null text is the empty text, which has only the end id; rows
 with a null doc_id come first; rows with equal ids stay separate rows, ordered
@@ -42,6 +44,8 @@ MAGIC = b"ASHTOK01"
 SAMPLE = 64
 #: Bytes of ids of a block, unless one document has more.
 BLOCK_BYTES = 4 << 20
+#: Blocks of a file; who reads a file holds all of it.
+FILE_BLOCKS = 8
 
 
 class EliasFano:
@@ -138,59 +142,70 @@ class Blocks:
             yield [None] * nulls + [int(x) + least for x in known.all()], ends, ids
 
 
-def _blocks(path: str, end_id: int, width: int):
+def width_for(largest: int, width: int | None = None) -> int:
+    """Bytes of an id, 2 or 4 if not given; an error if that is too few."""
+    needed = 2 if largest < 1 << 16 else 4
+    if width is not None and width < needed:
+        raise ValueError(f"ids up to {largest} don't fit in {width} bytes")
+    return width or needed
+
+
+def _blocks(path: str, end_id: int, width: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = hf_encoder(path)
+        wide = width_for(max(encoder.largest, end_id), width)
         for docs, texts in blocks(batches):
             flat, at = encoder.encode(texts)
-            flat = np.insert(flat, at[1:], end_id).astype(f"<u{width}")
+            flat = np.insert(flat, at[1:], end_id).astype(f"<u{wide}")
             at = at + np.arange(len(at))
             first = 0
             while first < len(docs):  # as many documents as fill a block, and one at least
-                last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES // width, "right")) - 1)
-                one = block(docs[first:last], np.diff(at[first : last + 1]), flat[at[first] : at[last]], width)
+                last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES // wide, "right")) - 1)
+                one = block(docs[first:last], np.diff(at[first : last + 1]), flat[at[first] : at[last]], wide)
                 yield pa.RecordBatch.from_arrays([pa.array([one], pa.binary())], names=["block"])
                 first = last
 
     return run
 
 
-def write(docs: DataFrame, where: str, tokenizer: str, end_id: int, id_width: int = 2) -> None:
+def write(docs: DataFrame, where: str, tokenizer: str, end_id: int, id_width: int | None = None) -> None:
     """Encode all documents and write them as files of blocks under ``where``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    texts = texts.withColumn("h", F.xxhash64("text"))  # parts rows that share an id
+    ordered = texts.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     blocks = ordered.mapInArrow(_blocks(tokenizer, end_id, id_width), "block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite").text(where)
+    blocks.select(F.col("block").cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", FILE_BLOCKS).text(where)
 
 
-_READ = "file int, doc_id long, place long, file_start long, n_tokens long, ids_crc32 long"
+_READ = "part int, file int, doc_id long, file_start long, n_tokens long, ids_crc32 long"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            before = place = 0
-            for docs, ends, ids in Blocks(batch.column(1)[k].as_buffer()):
+            before = 0
+            for docs, ends, ids in Blocks(batch.column(2)[k].as_buffer()):
                 n = ends.n
-                last = ends.all()
-                first = np.concatenate(([0], last[:-1]))
-                wide = ids.astype("<u4")
-                sums = [zlib.crc32(wide[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                columns = (np.full(n, batch.column(0)[k].as_py(), dtype=np.int32), docs, np.arange(place, place + n), before + first, last - first, sums)
-                kinds = (pa.int32(), *[pa.int64()] * 5)
+                last = [ends.select(i) for i in range(n)]
+                first = [0, *last[:-1]]
+                wide = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+                sums = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(first, last, strict=True)]
+                part, file = (np.full(n, batch.column(c)[k].as_py(), dtype=np.int32) for c in (0, 1))
+                columns = (part, file, docs, np.array(first) + before, np.subtract(last, first), sums)
+                kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _READ.split(", ")])
-                before += int(last[-1])
-                place += n
+                before += last[-1]
 
 
 def read_documents(spark: SparkSession, where: str, scratch: Scratch) -> DataFrame:
     """Of each document in the files: doc_id, start over all files, n_tokens and the crc32 of its ids."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(where)
-    number = F.regexp_extract("path", r"part-(\d+)-", 1).cast("int")
-    rows = scratch.keep(files.select(number.alias("file"), "content").mapInArrow(_read, _READ), "rows")
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # a row for each file
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
-    return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("int")
+    files = files.select(number(r"part-(\d+)-").alias("part"), number(r"-c(\d+)[^/]*$").alias("file"), "content")
+    rows = scratch.keep(files.mapInArrow(_read, _READ), "rows")
+    totals = rows.groupBy("part", "file").agg(F.sum("n_tokens").alias("total"))  # a row for each file
+    before = totals.select("part", "file", (F.sum("total").over(Window.orderBy("part", "file")) - F.col("total")).alias("before"))
+    return rows.join(before, ["part", "file"]).select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def store_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -59,7 +59,8 @@ class UnitCache:
 
     ``encode_many`` turns any strings into such ids' little-endian bytes. ``encode_units`` does so for
     strings that can't be cut, each with a space put before it; there are many of them.
-    ``most`` and ``longest`` bound the parts kept between calls.
+    ``most`` and ``longest`` bound the parts kept between calls. Texts that hold one of ``marks``, tokens that the library
+    looks for before it splits, are not cut: ``encode_whole`` gets them.
     """
 
     def __init__(
@@ -68,10 +69,14 @@ class UnitCache:
         encode_units: Callable[[Sequence[str]], list[bytes]] | None = None,
         most: int = 300_000,
         longest: int = 64,
+        marks: Sequence[str] = (),
+        encode_whole: Callable[[Sequence[str]], list[bytes]] | None = None,
+        largest: int = (1 << 32) - 1,
     ):
         self.encode_many = encode_many
         self.encode_units = encode_units or (lambda words: encode_many([" " + w for w in words]))
         self.kept = Kept(most, longest)  # by the part without its space
+        self.marks, self.encode_whole, self.largest = marks, encode_whole, largest  # no id is larger
 
     def _ids(self, words: pa.Array) -> tuple[list[bytes], list[int]]:
         """Ids of distinct parts, and the places of those that begin or end with white space, where a cut is no cut."""
@@ -103,6 +108,23 @@ class UnitCache:
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         if not len(texts):
             return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        marked = np.zeros(len(texts), dtype=bool)
+        for mark in self.marks:
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._encode_unmarked(texts)
+        flat, at = self._encode_unmarked(pc.if_else(pa.array(marked), "", texts))
+        rows = np.flatnonzero(marked).tolist()
+        own = [np.frombuffer(x, dtype="<u4") for x in self.encode_whole([texts[k].as_py() for k in rows])]
+        parts, last = [], 0
+        for k, ids in zip(rows, own, strict=True):
+            parts += (flat[last : at[k]], ids)
+            last = at[k]
+        lengths = np.diff(at)
+        lengths[rows] = [len(ids) for ids in own]
+        return np.concatenate([*parts, flat[last:]]), np.concatenate(([0], np.cumsum(lengths)))
+
+    def _encode_unmarked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
         units = coded.indices.to_numpy().astype(np.int32)
@@ -157,7 +179,10 @@ _TOGETHER = 150
 
 
 def hf_encoder(path: str) -> UnitCache:
-    """The encoder of a byte-level ``tokenizers`` file, one for each Python worker; special tokens are ordinary text."""
+    """The encoder of a byte-level ``tokenizers`` file, one for each Python worker.
+
+    It gives what the library does without adding special tokens: those that stand in a text are found there.
+    """
     if path not in _ENCODERS:
         import os
 
@@ -165,7 +190,6 @@ def hf_encoder(path: str) -> UnitCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         vocabulary = tokenizer.get_vocab()
         n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
@@ -185,5 +209,6 @@ def hf_encoder(path: str) -> UnitCache:
                 out += [data[a:b] for a, b in zip([0, *at], at, strict=False)]
             return out
 
-        _ENCODERS[path] = UnitCache(many, units)
+        marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        _ENCODERS[path] = UnitCache(many, units, marks=marks, encode_whole=many, largest=max(vocabulary.values()))
     return _ENCODERS[path]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -20,13 +21,12 @@ from .helpers import FOLDER, documents
 
 FILE = tokenizer("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-ODD = ["", " ", "  a  b\n c", " x", "x ", "a\n\nb  c d\te   f", "it's  I'll 12 3 4,, !! é\x1c é \x1c x", "a\u3000 b \u2003c", "<|endoftext|> a", "日本語 テキスト", "a" * 900, "x" * 80 + " " + "x" * 80, "The cat, the CAT's 99. éàü! \u1680 z"]
+ODD = ["", " ", "  a  b\n c", " x", "x ", "a\n\nb  c d\te   f", "it's  I'll 12 3 4,, !! é\x1c é \x1c x", "a\u3000 b \u2003c", "<|endoftext|> a", "a <|endoftext|> b", "  <|endoftext|><|endoftext|>\n x<|endoftext|>y  <|endoftext|>", "<|endoftext |>", "日本語 テキスト", "a" * 900, "x" * 80 + " " + "x" * 80, "The cat, the CAT's 99. éàü! \u1680 z"]
 
 
 @pytest.fixture(scope="module")
 def whole():
-    t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(FILE)  # as it comes
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -86,6 +86,33 @@ def test_token_files(spark, whole):
         start += len(ids)
 
 
+def test_many_files_and_marks(spark, whole, monkeypatch):
+    """Blocks of a few ids, two to a file, several files to a partition; ids of tokens that stand in the texts."""
+    monkeypatch.setattr(token_store, "FILE_BLOCKS", 2)
+    texts = {k: ["a <|endoftext|> b " * (k % 7), "plain text " * 300][k % 2] for k in range(120)}
+    docs = documents(spark, *texts.items())
+    original = token_store._blocks
+    monkeypatch.setattr(token_store, "_blocks", lambda *a: small_blocks(original(*a)))
+    rows = token_store.store_and_read(spark, docs, FILE, 2).orderBy("doc_id").collect()
+    start = 0
+    for r, (k, text) in zip(rows, texts.items(), strict=True):
+        ids = [*whole(text), 2]
+        assert tuple(r) == (k, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) and (k % 2 or not k % 7 or 50256 in ids)
+        start += len(ids)
+    assert len(list(Path(spark.conf.get("spark.checkpoint.dir")).glob("token-store-*/files/part-*-c003*"))) >= 1
+
+
+def small_blocks(run):
+    """Each document in a block of its own: batches of one row."""
+    return lambda batches: (out for batch in batches for k in range(batch.num_rows) for out in run(iter([batch.slice(k, 1)])))
+
+
+def test_widths():
+    assert [token_store.width_for(n) for n in (50_257, 65_535, 65_536)] == [2, 2, 4]
+    with pytest.raises(ValueError):
+        token_store.width_for(65_536, 2)
+
+
 def test_token_files_of_odd_tables(spark):
     docs = documents(spark, (3, "b c"), (None, "a"), (3, "b c"), (None, None), (-5, "x"))
     rows = token_store.store_and_read(spark, docs, FILE, 2).orderBy("start").collect()
