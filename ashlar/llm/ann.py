@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by a graph from NN-descent and greedy search in it.
 
-Nearness is the largest inner product. Equal vectors are one vertex. For the
-graph, a vector x gets one more component, the root of m^2 - |x|^2 where m is the
-largest norm, so that all have one length and a larger inner product is a
-smaller distance.
+Nearness is the largest inner product. Equal vectors are one vertex. Vertices fall
+into shells by norm, each from a power of two to the next, and each shell has a graph
+of its own: there, a vector x becomes x / m with one more component, the root of
+1 - |x / m|^2, where m is the shell's upper bound, so that all have length one, a
+larger inner product is a smaller distance, and no vector of another norm, however
+large, takes away from the others' precision.
 
 Build: blocks of neighbours in a few random orders give a first graph. In each
 round, the neighbours of a vertex, those it points to and a bounded sample of
@@ -11,32 +13,31 @@ those that point to it, meet in a join on that vertex: pairs of them, one new
 since the last round, are candidates for one another, and a vertex keeps the best
 of its neighbours. Rounds end when few edges change.
 
-Search: a beam of the best vertices for each query, from the query's own
+Search: a beam of the best vertices for each query and shell, from the query's own
 vertex if it has one and from the nearest of a fixed number of entries. The
 best vertices not yet expanded are joined with the graph, their neighbours are
-scored, and the beam keeps the best, until all in it are expanded. The rows
-behind the vertices found are ranked by the exact product of the original
-vectors.
+scored, and the beam keeps the best, until all in it are expanded. A shell whose
+bound on any product is below what a query has found is left out for it. The rows
+behind the vertices found are ranked by the exact product of the original vectors.
 
-Beyond GROWN_FROM vertices, neighbours, reverse sample, offers, entries and beam
-grow with their number (``Sizes``), as a fixed beam finds less in a larger set.
-
-Vectors are found approximately; the tests measure recall against brute force.
-On 51,300 vectors of 64 components the 20 nearest are found with recall 0.95.
+How wide a beam must be depends on the vectors, not only on their number. So each
+run compares a bounded sample of its own queries with brute force: as long as their
+recall is below TARGET, all queries' beams get wider and go on from where they are,
+in the end to all vertices. What is scored for a query thus stays as it is where
+data grow and stay as easy, and grows where they are hard, as uniform ones are.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components
-take no part, as query or candidate; neither do rows whose id is null, nor those
-whose vector's length isn't the most common one; of rows that share an id the
+take no part, as query or candidate, nor do rows whose id is null; a vector shorter
+than the longest counts as one that ends in zeros; of rows that share an id the
 least vector counts; equal vectors are found together, ties go to the smaller id;
-with fewer candidates than asked for, a query gets those that were reached; an
-empty table gives no rows; other columns are ignored.
+with fewer candidates than asked for, a query gets all there are; an empty table
+gives no rows; other columns are ignored. Products beyond the range of doubles are
+infinite, and ties.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,29 +54,12 @@ OFFERS = 12
 ORDERS, ORDER_BLOCK, SIGNS = 4, 512, 12
 #: Rounds end at FEW_CHANGES; MAX_ROUNDS only keeps a build that doesn't settle from going on for ever.
 MAX_ROUNDS, FEW_CHANGES = 30, 0.03
-BEAM, WIDTH = 192, 96
-#: Vertices among which each query's first ones are looked for, and how many of them it gets.
+#: The first beam, by what it grows, and how many of it are expanded in a step.
+BEAM, WIDER, WIDTH = 128, 1.6, 128
+#: Vertices of a shell among which each query's first ones are looked for, and how many of them it gets.
 ENTRIES, ENTER = 256, 4
-#: Vertices up to which these numbers are enough, and the powers by which neighbours (with reverse sample and offers), beam and entries grow beyond.
-GROWN_FROM, MORE_NEIGHBOURS, MORE_BEAM, MORE_ENTRIES = 50_000, 0.25, 0.8, 0.5
-
-
-@dataclass(frozen=True)
-class Sizes:
-    """The numbers for a set of vertices."""
-
-    neighbours: int
-    reverse: int
-    offers: int
-    beam: int
-    width: int
-    entries: int
-
-    @classmethod
-    def of(cls, vertices: int) -> Sizes:
-        grown = max(1.0, vertices / GROWN_FROM)
-        up = lambda n, power: math.ceil(n * grown**power)
-        return cls(*(up(n, MORE_NEIGHBOURS) for n in (NEIGHBOURS, REVERSE, OFFERS)), *(up(n, MORE_BEAM) for n in (BEAM, WIDTH)), up(ENTRIES, MORE_ENTRIES))
+#: Queries compared with brute force, and the recall at which beams grow no more.
+SAMPLE, TARGET = 200, 0.96
 
 
 def _shuffles(df: DataFrame) -> int:
@@ -92,16 +76,15 @@ def _matrix(column: pa.Array, kind: str = "<f2") -> np.ndarray:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, number of components, squared norm and bytes of the vectors that take part, as doubles."""
+    """id and bytes, as doubles, of the vectors that take part."""
     for batch in batches:
         rows = []
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if i is not None and v and None not in v:
                 x = np.array(v, dtype="<f8") + 0.0  # no negative zero
                 if np.isfinite(x).all() and x.any():
-                    rows.append((i, len(x), float(x @ x), x.tobytes()))
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "dims", "square", "vector"])
+                    rows.append((i, x.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["id", "vector"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -132,14 +115,14 @@ def _edges(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(node), pa.array(nbr), pa.array(sim.astype(np.float32))], names=["node", "nbr", "sim"])
 
 
-def _best_of_blocks(batches: Iterator[pa.RecordBatch], neighbours: int) -> Iterator[pa.RecordBatch]:
+def _best_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each vertex' best in its block of an order. Rows come sorted, with the order's number first."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         node, x = table.column(1).to_numpy(), _matrix(table.column(2).combine_chunks()).astype(np.float32)
         sims = x @ x.T
         np.fill_diagonal(sims, -np.inf)
-        k = min(neighbours, len(node) - 1)
+        k = min(NEIGHBOURS, len(node) - 1)
         best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         return _edges(np.repeat(node, k), node[best].ravel(), np.take_along_axis(sims, best, 1).ravel())
 
@@ -159,15 +142,16 @@ def _order(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in range(ORDERS if batch.num_rows else 0):
-                at = _matrix(batch.column(1)).astype(np.float32) @ planes[number]
+                at = _matrix(batch.column(2)).astype(np.float32) @ planes[number]
                 code = (at[:, :SIGNS] > 0) @ (1 << np.arange(SIGNS))
-                columns = [pa.array(np.full(batch.num_rows, number, dtype=np.int32)), *batch.columns, pa.array(code.astype(np.int32)), pa.array(at[:, SIGNS])]
+                own = batch.column(1).to_numpy() * ORDERS + number  # each shell has its own orders
+                columns = [pa.array(own.astype(np.int32)), batch.column(0), batch.column(2), pa.array(code.astype(np.int32)), pa.array(at[:, SIGNS])]
                 yield pa.RecordBatch.from_arrays(columns, names=["number", "node", "x", "code", "at"])
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch], offers: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates from each vertex' neighbours: rows of the vertex, a neighbour, whether new, its worst edge, its vector.
 
     Rows come sorted by the first three, so that of a neighbour met both ways the new row is last, and it counts.
@@ -188,7 +172,7 @@ def _meet(batches: Iterator[pa.RecordBatch], offers: int) -> Iterator[pa.RecordB
             fresh = new[rows]
             fits = (fresh[:, :, None] | fresh[:, None, :]) & (sims > worst[rows][:, :, None]) & ~np.eye(size, dtype=bool)
             sims[~fits] = -np.inf
-            k = min(offers, size - 1)
+            k = min(OFFERS, size - 1)
             best = np.argpartition(-sims, k - 1, axis=2)[:, :, :k]
             top = np.take_along_axis(sims, best, 2)
             keep = np.isfinite(top)
@@ -199,119 +183,189 @@ def _meet(batches: Iterator[pa.RecordBatch], offers: int) -> Iterator[pa.RecordB
 
 
 def build(scratch: Scratch, points: DataFrame, dims: int) -> DataFrame:
-    """Edges ``node``, ``nbr``, ``sim`` of each vertex' best neighbours found. ``points``: ``node`` and ``x``, its bytes as half floats."""
+    """Edges ``node``, ``nbr``, ``sim`` of each vertex' best neighbours found in its shell.
+
+    ``points``: ``node``, ``shell`` and ``x``, the bytes of a vector of length one as half floats.
+    """
     n = _shuffles(points)
     vertices = points.count()
-    sizes = Sizes.of(vertices)
     parts = max(1, min(n, ORDERS * vertices // ORDER_BLOCK))
-    orders = scratch.keep(points.mapInArrow(_order(dims), "number int, node long, x binary, code int, at float"), "orders")
+    orders = scratch.keep(points.select("node", "shell", "x").mapInArrow(_order(dims), "number int, node long, x binary, code int, at float"), "orders")
     dealt = orders.repartitionByRange(parts, "number", "code", "at", "node").sortWithinPartitions("number", "code", "at", "node")
-    found = dealt.select("number", "node", "x").mapInArrow(lambda batches: _best_of_blocks(batches, sizes.neighbours), _EDGES).withColumn("new", F.lit(True))
-    graph = scratch.keep(_best(found, n, sizes.neighbours), "graph0")
+    found = dealt.select("number", "node", "x").mapInArrow(_best_of_blocks, _EDGES).withColumn("new", F.lit(True))
+    graph = scratch.keep(_best(found, n), "graph0")
     scratch.drop("orders")
     total, nothing = graph.count(), F.lit(float("-inf")).cast("float")
     for turn in range(1, MAX_ROUNDS + 1):
-        worst = graph.where(F.col("r") == sizes.neighbours).select(F.col("node").alias("member"), F.col("sim").alias("worst"))
-        members = points.withColumnRenamed("node", "member").join(worst, "member", "left").select("member", F.coalesce("worst", nothing).alias("worst"), "x")
+        worst = graph.where(F.col("r") == NEIGHBOURS).select(F.col("node").alias("member"), F.col("sim").alias("worst"))
+        members = points.select(F.col("node").alias("member"), "x").join(worst, "member", "left").select("member", F.coalesce("worst", nothing).alias("worst"), "x")
         back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("member"), "new", F.xxhash64("node", "nbr", F.lit(turn)).alias("h"))
-        back = back.withColumn("b", _rank("node", F.desc("new"), F.col("h"))).where(F.col("b") <= sizes.reverse)
+        back = back.withColumn("b", _rank("node", F.desc("new"), F.col("h"))).where(F.col("b") <= REVERSE)
         meets = graph.select("node", F.col("nbr").alias("member"), "new").unionByName(back.select("node", "member", "new"))
         meets = meets.join(members, "member").repartition(n, "node").sortWithinPartitions("node", "member", "new")
-        offers = meets.select("node", "member", "new", "worst", "x").mapInArrow(lambda batches: _meet(batches, sizes.offers), _EDGES).withColumn("new", F.lit(True))
-        graph = scratch.keep(_best(graph.select("node", "nbr", "sim", F.lit(False).alias("new")).unionByName(offers), n, sizes.neighbours), f"graph{turn}")
+        offers = meets.select("node", "member", "new", "worst", "x").mapInArrow(_meet, _EDGES).withColumn("new", F.lit(True))
+        graph = scratch.keep(_best(graph.select("node", "nbr", "sim", F.lit(False).alias("new")).unionByName(offers), n), f"graph{turn}")
         scratch.drop(f"graph{turn - 1}")
         if graph.where("new").count() <= FEW_CHANGES * total:
             break
     return graph.select("node", "nbr", "sim")
 
 
-def _best(edges: DataFrame, n: int, neighbours: int) -> DataFrame:
+def _best(edges: DataFrame, n: int) -> DataFrame:
     """The best edges of each vertex with their rank ``r``; an edge that was there isn't new."""
     merged = edges.repartition(n, "node").groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    return merged.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= neighbours)
+    return merged.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= NEIGHBOURS)
 
 
-def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sim = np.einsum("ij,ij->i", _matrix(batch.column(2)).astype(np.float32), _matrix(batch.column(3)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], names=["query", "node", "sim"])
+def _scale(shells: np.ndarray, top: int) -> np.ndarray:
+    """What makes products of vectors scaled by their shells comparable."""
+    return np.ldexp(1.0, np.maximum(shells - top, -1060))
+
+
+def _products(top: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sim = np.einsum("ij,ij->i", _matrix(batch.column(3)).astype(np.float32), _matrix(batch.column(4)).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sim * _scale(batch.column(2).to_numpy(), top))], names=["query", "node", "shell", "sim"])
+
+    return run
+
+
+def _sampled(sample: list, top: int, k: int):
+    """The k-th largest products of the sampled queries: each task gives its best ones. ``sample``: query and bytes."""
+    xq = np.stack([np.frombuffer(r.x, "<f2") for r in sample]).astype(np.float32)
+    queries = np.array([r["query"] for r in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((len(queries), 0))
+        for batch in batches:
+            if batch.num_rows:
+                sims = (xq @ _matrix(batch.column(1)).astype(np.float32).T) * _scale(batch.column(0).to_numpy(), top)
+                best = np.concatenate([best, sims], axis=1)
+                if best.shape[1] > k:
+                    best = -np.partition(-best, k - 1, axis=1)[:, :k]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, best.shape[1])), pa.array(best.ravel())], names=["query", "sim"])
+
+    return run
 
 
-def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query``, ``node`` for the vertices in each query's beam. ``queries``: ``query``, ``x`` and ``own``, its vertex or null."""
-    sizes = Sizes.of(points.count())
+def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query``, ``node`` for the vertices found for each query, its ``k`` nearest among them where they were reached.
+
+    ``queries``: ``query``, ``x`` and ``own``, its vertex or null.
+    """
+    vertices, top = points.agg(F.count("*"), F.max("shell")).first()
     back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim")
-    back = back.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= sizes.reverse)
+    back = back.withColumn("r", _rank("node", F.desc("sim"), F.col("nbr"))).where(F.col("r") <= REVERSE)
     out = graph.select("node", "nbr").unionByName(back.select("node", "nbr")).distinct()
     near = scratch.keep(out.groupBy("node").agg(F.collect_list("nbr").alias("nbrs")), "adjacent")  # a bounded list
-    vectors = points.select("node", F.col("x").alias("xn"))
+    vectors = points.select("node", "shell", F.col("x").alias("xn"))
     asked = queries.select("query", F.col("x").alias("xq"))
 
-    entries = points.orderBy(F.xxhash64("node"), "node").limit(sizes.entries).collect()
-    ids, x = np.array([r.node for r in entries]), np.stack([np.frombuffer(r.x, "<f2") for r in entries]).astype(np.float32)
+    ranked = points.withColumn("r", F.row_number().over(Window.partitionBy("shell", F.pmod(F.xxhash64("node"), F.lit(ENTRIES))).orderBy("node")))
+    entries = ranked.where("r = 1").select("node", "shell", "x").collect()  # ENTRIES a shell, and there are few shells
+    ids, shells = np.array([r.node for r in entries]), np.array([r.shell for r in entries])
+    x = np.stack([np.frombuffer(r.x, "<f2") for r in entries]).astype(np.float32)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                best = np.argsort(-(_matrix(batch.column(1)).astype(np.float32) @ x.T), axis=1, kind="stable")[:, :ENTER]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), best.shape[1])), pa.array(ids[best].ravel())], names=["query", "node"])
+                sims = _matrix(batch.column(1)).astype(np.float32) @ x.T
+                for shell in np.unique(shells).tolist():
+                    own = np.flatnonzero(shells == shell)
+                    best = own[np.argsort(-sims[:, own], axis=1, kind="stable")[:, :ENTER]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), best.shape[1])), pa.array(ids[best].ravel())], names=["query", "node"])
 
     start = queries.where("own IS NOT NULL").select("query", F.col("own").alias("node"))
     start = start.unionByName(queries.select("query", "x").mapInArrow(enter, "query long, node long")).distinct()
 
+    sample = queries.select("query", "x").orderBy(F.xxhash64("query"), "query").limit(SAMPLE).collect()
+    if not sample:
+        return start
+    exact = points.select("shell", "x").mapInArrow(_sampled(sample, top, k), "query long, sim double")
+    exact = exact.withColumn("r", _rank("query", F.desc("sim"))).where(F.col("r") <= k).groupBy("query").agg(F.min("sim").alias("bound"), F.count("*").alias("want"))
+    exact = scratch.keep(exact, "exact")  # a row for each of the sample
+
     def scored(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(vectors, "node").join(asked, "query").select("query", "node", "xq", "xn")
-        return rows.mapInArrow(_products, "query long, node long, sim float").withColumn("expanded", F.lit(False))
-
-    def cut(rows: DataFrame) -> DataFrame:
-        """The beam, and of the vertices in it that aren't expanded the best, which are next."""
-        kept = rows.withColumn("r", _rank("query", F.desc("sim"), F.col("node"))).where(F.col("r") <= sizes.beam)
-        left = F.sum(F.when(~F.col("expanded"), 1).otherwise(0)).over(Window.partitionBy("query").orderBy("r"))
-        return kept.select("query", "node", "sim", "expanded", (~F.col("expanded") & (left <= sizes.width)).alias("next"))
-
-    beam = scratch.keep(cut(scored(start)), "beam0")
-    step = 0
-    while not (turn := beam.where("next").select("query", "node")).isEmpty():
+        rows = pairs.join(vectors, "node").join(asked, "query").select("query", "node", "shell", "xq", "xn")
+        return rows.mapInArrow(_products(top), "query long, node long, shell int, sim double").withColumn("expanded", F.lit(False))
+
+    def cut(rows: DataFrame, beam: int) -> DataFrame:
+        """The beam and what a wider one would have; of the vertices in it that aren't expanded the best, which are next."""
+        rows = rows.select("query", "node", "shell", "sim", "expanded")
+        rows = rows.withColumn("all", _rank("query", F.desc("sim"), F.col("node")))
+        rows = rows.withColumn("found", F.max(F.when(F.col("all") == k, F.col("sim"))).over(Window.partitionBy("query")))
+        own = Window.partitionBy("query", "shell")
+        rows = rows.withColumn("r", F.row_number().over(own.orderBy(F.desc("sim"), "node"))).where(F.col("r") <= int(WIDER * beam))
+        useful = F.col("found").isNull() | (F.expr(f"power(2D, shell - {top})") > F.col("found"))  # no product in the shell is larger
+        open_ = ~F.col("expanded") & (F.col("r") <= beam) & useful
+        left = F.sum(F.when(open_, 1).otherwise(0)).over(own.orderBy("r"))
+        return rows.select("query", "node", "shell", "sim", "expanded", (open_ & (left <= WIDTH)).alias("next"))
+
+    beam, step = BEAM, 0
+    state = scratch.keep(cut(scored(start), beam), "beam0")
+    while True:
+        while not (turn := state.where("next").select("query", "node")).isEmpty():
+            step += 1
+            met = turn.join(near, "node").select("query", F.explode("nbrs").alias("node"))
+            told = state.select("query", "node", "shell", "sim", (F.col("expanded") | F.col("next")).alias("expanded"))
+            known = told.select("query", "node", F.lit(True).alias("known"))
+            both = met.withColumn("known", F.lit(False)).unionByName(known).groupBy("query", "node").agg(F.max("known").alias("known"))
+            state = scratch.keep(cut(told.unionByName(scored(both.where("NOT known").select("query", "node"))), beam), f"beam{step}")
+            scratch.drop(f"beam{step - 1}")
+        if beam >= vertices:
+            break
+        tried = state.join(F.broadcast(exact), "query")
+        hits = tried.groupBy("query", "want").agg(F.sum(F.when(F.col("sim") >= F.col("bound") - 1e-5 * F.abs("bound"), 1).otherwise(0)).alias("hits"))
+        if hits.agg(F.avg(F.least("hits", "want") / F.col("want"))).first()[0] >= TARGET:
+            break
+        beam = int(WIDER * beam)
         step += 1
-        met = turn.join(near, "node").select("query", F.explode("nbrs").alias("node"))
-        told = beam.select("query", "node", "sim", (F.col("expanded") | F.col("next")).alias("expanded"))
-        both = met.select("query", "node", F.lit(None).cast("float").alias("sim"), F.lit(False).alias("expanded")).unionByName(told)
-        both = both.groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("expanded").alias("expanded"))
-        fresh = scored(both.where("sim IS NULL").select("query", "node"))
-        beam = scratch.keep(cut(told.unionByName(fresh)), f"beam{step}")
+        state = scratch.keep(cut(state, beam), f"beam{step}")
         scratch.drop(f"beam{step - 1}")
-    return beam.select("query", "node")
+    return state.select("query", "node", "sim")
 
 
-def _augmented(largest: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, square = _matrix(batch.column(2), "<f8"), batch.column(1).to_numpy()
-                x = np.column_stack([x, np.sqrt(np.maximum(largest - square, 0))]) / np.sqrt(largest)
-                rows = [r.tobytes() for r in x.astype("<f2")]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "x"])
+def _shells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, shell and scaled vector. The shell of s holds norms from 2^(s - 1) up to 2^s."""
+    for batch in batches:
+        if batch.num_rows:
+            x = _matrix(batch.column(1), "<f8")
+            scaled, shell = _scaled(x)
+            x = np.column_stack([scaled, np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shell.astype(np.int32)), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], names=["node", "shell", "x"])
 
-    return run
+
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors scaled by powers of two to a norm from a half to one, and the powers. No square overflows or vanishes."""
+    _, most = np.frexp(np.abs(x).max(axis=1))
+    x = np.ldexp(x, -most[:, None])
+    _, more = np.frexp(np.sqrt((x * x).sum(axis=1)))
+    return np.ldexp(x, -more[:, None]), most + more
 
 
 def _as_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Queries of length one with 0 as the added component."""
     for batch in batches:
         if batch.num_rows:
-            x, square = _matrix(batch.column(2), "<f8"), batch.column(1).to_numpy()
-            x = np.column_stack([x / np.sqrt(square)[:, None], np.zeros(len(x))])
+            x, _ = _scaled(_matrix(batch.column(1), "<f8"))
+            x = np.column_stack([x / np.sqrt((x * x).sum(axis=1))[:, None], np.zeros(len(x))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], names=["query", "x"])
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            score = np.einsum("ij,ij->i", _matrix(batch.column(2), "<f8"), _matrix(batch.column(3), "<f8"))
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = np.einsum("ij,ij->i", _matrix(batch.column(2), "<f8"), _matrix(batch.column(3), "<f8"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query", "node", "score"])
 
 
+#: Vertices found for a query that are compared by their original vectors, beyond those it asks for: half floats leave some in doubt.
+DOUBT = 64
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """The ``k`` nearest rows found for each row for which ``is_query`` holds, itself left out.
 
@@ -319,30 +373,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """
     scratch = Scratch(vectors.sparkSession, "ann")
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    kept = rows.select("id", "v").mapInArrow(_clean, "id long, dims int, square double, vector binary")
-    kept = scratch.keep(kept.groupBy("id").agg(F.min(F.struct("vector", "dims", "square")).alias("r")).select("id", "r.*"), "kept")
-    shape = kept.groupBy("dims").agg(F.count("*").alias("n"), F.max("square").alias("largest")).orderBy(F.desc("n"), "dims").first()
-    if shape is None:
+    kept = rows.select("id", "v").mapInArrow(_clean, "id long, vector binary")
+    kept = scratch.keep(kept.groupBy("id").agg(F.min("vector").alias("vector")), "kept")
+    shape = kept.agg(F.min(F.octet_length("vector")).alias("least"), F.max(F.octet_length("vector")).alias("most")).first()
+    if shape.most is None:
         return scratch.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    kept = kept.where(F.col("dims") == shape.dims)
+    if shape.least < shape.most:
+        zero = F.lit(bytes(8))
+        kept = scratch.keep(kept.withColumn("vector", F.rpad("vector", shape.most, zero)), "padded")
 
     # A vertex is a distinct vector, by its least id, with the k + 1 least ids that have it.
-    nodes = scratch.keep(kept.groupBy("vector").agg(F.min("id").alias("node"), F.first("square").alias("square")), "nodes")
+    nodes = scratch.keep(kept.groupBy("vector").agg(F.min("id").alias("node")), "nodes")
     least = kept.withColumn("r", _rank("vector", F.col("id"))).where(F.col("r") <= k + 1)
     members = scratch.keep(least.join(nodes.select("vector", "node"), "vector").select("node", "id"), "members")
-    points = scratch.keep(nodes.select("node", "square", "vector").mapInArrow(_augmented(shape.largest), "node long, x binary"), "points")
-    graph = build(scratch, points, shape.dims + 1)
+    points = scratch.keep(nodes.select("node", "vector").mapInArrow(_shells, "node long, shell int, x binary"), "points")
+    graph = build(scratch, points, shape.most // 8 + 1)
 
     asking = kept.join(rows.where("asks").select("id").distinct(), "id", "left_semi").join(nodes.select("vector", "node"), "vector").select("id", "node")
     asking = scratch.keep(asking, "asking")
     sources = nodes.join(asking.select("node").distinct(), "node", "left_semi")
-    queries = sources.select("node", "square", "vector").mapInArrow(_as_queries, "query long, x binary").withColumn("own", F.col("query"))
-    found = search(scratch, graph, points, scratch.keep(queries, "queries"))
+    queries = sources.select("node", "vector").mapInArrow(_as_queries, "query long, x binary").withColumn("own", F.col("query"))
+    found = search(scratch, graph, points, scratch.keep(queries, "queries"), k + 1)
+    found = found.withColumn("r", _rank("query", F.desc("sim"), F.col("node"))).where(F.col("r") <= k + 1 + DOUBT)
 
     original = nodes.select("node", "vector")
-    pairs = found.join(original.withColumnRenamed("vector", "vn"), "node").join(original.select(F.col("node").alias("query"), F.col("vector").alias("vq")), "query")
+    pairs = found.select("query", "node").join(original.withColumnRenamed("vector", "vn"), "node").join(original.select(F.col("node").alias("query"), F.col("vector").alias("vq")), "query")
     exact = pairs.select("query", "node", "vq", "vn").mapInArrow(_exact, "query long, node long, score double")
-    ranked = exact.join(members, "node").withColumn("r", _rank("query", F.desc("score"), F.col("id"))).where(F.col("r") <= k + 1)
+    # A vertex' least id is its number, so the k + 1 best rows are among the rows of the k + 1 best vertices.
+    best = exact.withColumn("r", _rank("query", F.desc("score"), F.col("node"))).where(F.col("r") <= k + 1).drop("r")
+    ranked = best.join(members, "node").withColumn("r", _rank("query", F.desc("score"), F.col("id"))).where(F.col("r") <= k + 1)
     ranked = scratch.keep(ranked.select(F.col("query").alias("node"), F.col("id").alias("vec_id"), "score"), "ranked")
     each = asking.withColumnRenamed("id", "query_id").join(ranked, "node").where("query_id != vec_id")
     each = each.withColumn("rank", _rank("query_id", F.desc("score"), F.col("vec_id"))).where(F.col("rank") <= k)

@@ -173,23 +173,40 @@ def test_recall(spark):
     assert np.mean([len(set(found[q]) & set(want[q])) / 20 for q in want]) >= 0.95
 
 
-def test_recall_of_a_larger_set(spark, monkeypatch):
-    """With all numbers cut, recall of 4,000 vectors holds as they grow from a smaller set on; it falls if they stay."""
-    for name, value in (("NEIGHBOURS", 6), ("REVERSE", 4), ("OFFERS", 3), ("BEAM", 16), ("WIDTH", 8), ("ENTRIES", 32)):
+def recall_of(spark, x, every, k=10, **settings):
+    """Recall by brute force over ``x`` of what is found for each ``every``-th vector."""
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % every == 0, k).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(list(range(len(x))), x.astype(np.float32).astype(np.float64), range(0, len(x), every), k)
+    assert set(found) == set(want)
+    return np.mean([len(found[q] & set(want[q])) / k for q in want])
+
+
+def test_beams_grow_until_recall_is_reached(spark, monkeypatch):
+    """With few neighbours and a beam of 8, a set far larger than what that could cover is searched well, and badly if beams stay."""
+    for name, value in (("NEIGHBOURS", 8), ("REVERSE", 6), ("OFFERS", 4), ("BEAM", 8), ("WIDTH", 16), ("ENTRIES", 16)):
         monkeypatch.setattr(ann, name, value)
-    x = np.random.default_rng(3).standard_normal((4000, 32))
+    x = np.random.default_rng(3).standard_normal((4000, 24))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    df = vectors(spark, [(k, v.tolist()) for k, v in enumerate(x)])
-    x = x.astype(np.float32).astype(np.float64)
-    recall = {}
-    for start in (250, 4000):
-        monkeypatch.setattr(ann, "GROWN_FROM", start)
-        found = {}
-        for r in ann.nearest(df, F.col("vec_id") % 40 == 0, 10).collect():
-            found.setdefault(r.query_id, set()).add(r.vec_id)
-        want = brute(list(range(4000)), x, sorted(found), 10)
-        recall[start] = np.mean([len(found[q] & set(want[q])) / 10 for q in want])
-    assert recall[250] >= 0.9 > recall[4000]
+    assert recall_of(spark, x, 40) >= 0.9
+    monkeypatch.setattr(ann, "TARGET", 0.0)
+    assert recall_of(spark, x, 40) < 0.8
+
+
+def test_recall_with_outlying_norms(spark):
+    """One vector of a huge norm, norms over many powers of ten, and products beyond the range of doubles."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((60, 16))
+    x = centres[rng.integers(0, 60, 3000)] + 0.3 * rng.standard_normal((3000, 16))
+    plain = recall_of(spark, x, 30)
+    x[7] *= 10_000
+    assert plain >= 0.95 and recall_of(spark, x, 30) >= 0.95
+    heavy = x * np.exp(2 * rng.standard_normal(3000))[:, None]
+    assert recall_of(spark, heavy, 30) >= 0.95
+    huge = spark.createDataFrame([(k, [1e200 * (1 + k), 1.0]) for k in range(5)], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest(huge, F.col("vec_id") == 0, 3).orderBy("rank").collect()] == [(k, float("inf")) for k in (1, 2, 3)]
 
 
 def test_equal_vectors_and_lengths(spark):
@@ -209,7 +226,7 @@ def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [0.5, 0.5]), (7, []), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [0.0, 2.0]), (20, [0.0, 2.0]), (40, None)]
     out = [tuple(r) for r in ann.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()]
-    assert out == [(0, 1, 6, 0.5), (0, 2, 20, 0.0), (20, 1, 6, 1.0), (20, 2, 0, 0.0)]
+    assert out == [(0, 1, 8, 1.0), (0, 2, 6, 0.5), (0, 3, 20, 0.0), (20, 1, 8, 4.0), (20, 2, 6, 1.0), (20, 3, 0, 0.0)]
     assert ann.nearest(vectors(spark, rows[:1]), F.col("vec_id") == 0, 20).collect() == []
     assert ann.nearest(vectors(spark, []), F.col("vec_id") == 0, 20).collect() == []
 
@@ -218,12 +235,12 @@ def test_queries_that_are_not_vertices(spark):
     scratch, rng = Scratch(spark, "t"), np.random.default_rng(1)
     x = rng.standard_normal((400, 8))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f2")
-    points = scratch.keep(spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, x binary"), "points")
+    points = scratch.keep(spark.createDataFrame([(k, 1, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, shell int, x binary"), "points")
     graph = ann.build(scratch, points, 8)
     q = rng.standard_normal((10, 8)).astype("<f2")
     asked = spark.createDataFrame([(k, bytearray(v.tobytes()), None) for k, v in enumerate(q)], "query long, x binary, own long")
     beams = {}
-    for r in ann.search(scratch, graph, points, asked).collect():
+    for r in ann.search(scratch, graph, points, asked, 10).collect():
         beams.setdefault(r["query"], set()).add(r.node)
     hits = [len(beams[k] & set(np.argsort(-(x.astype(np.float32) @ v.astype(np.float32)))[:10].tolist())) / 10 for k, v in enumerate(q)]
     assert np.mean(hits) >= 0.9
