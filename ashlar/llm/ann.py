@@ -59,7 +59,7 @@ BEAM, WIDER, WIDTH = 128, 1.6, 128
 #: Vertices of a shell among which each query's first ones are looked for, and how many of them it gets.
 ENTRIES, ENTER = 256, 4
 #: Queries compared with brute force, and the recall at which beams grow no more.
-SAMPLE, TARGET = 200, 0.96
+SAMPLE, TARGET = 200, 0.95
 
 
 def _shuffles(df: DataFrame) -> int:
@@ -250,6 +250,44 @@ def _sampled(sample: list, top: int, k: int):
     return run
 
 
+def _places(keys: np.ndarray) -> np.ndarray:
+    """The place of each row in its run of equal keys, from 0."""
+    first = np.append(True, keys[1:] != keys[:-1])
+    at = np.flatnonzero(first)
+    return np.arange(len(keys)) - np.repeat(at, np.diff(np.append(at, len(keys))))
+
+
+def _cut(beam: int, top: int, k: int):
+    """Rows of whole queries, which stand together: of each shell the best, and which are next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in _groups(batches):
+            query, node, shell, sim, expanded = (table.column(c).to_numpy() for c in range(5))
+            order = np.lexsort((node, -sim, query))
+            query, node, shell, sim, expanded = (c[order] for c in (query, node, shell, sim, expanded))
+            place = _places(query)
+            found = np.full(len(query), -np.inf)  # the k-th best, if there are so many
+            at = np.flatnonzero(place == k - 1)
+            starts = np.flatnonzero(place == 0)
+            sizes = np.diff(np.append(starts, len(query)))
+            has = sizes >= k
+            found[np.repeat(has, sizes)] = np.repeat(sim[at], sizes[has])
+            useful = _scale(shell, top) > found  # no product in the shell is larger
+            order = np.lexsort((shell, query)) if (shell != shell[0]).any() else np.arange(len(query))
+            query, node, shell, sim, expanded, useful = (c[order] for c in (query, node, shell, sim, expanded, useful))
+            group = query if (shell == shell[0]).all() else np.cumsum(np.append(True, (query[1:] != query[:-1]) | (shell[1:] != shell[:-1])))
+            r = _places(group)
+            open_ = ~expanded & (r < beam) & useful
+            before = np.cumsum(open_) - open_  # open ones up to here, less those before the group
+            first = np.flatnonzero(r == 0)
+            before = before - np.repeat(before[first], np.diff(np.append(first, len(r))))
+            keep = r < int(WIDER * beam)
+            columns = (query, node, shell, sim, expanded, open_ & (before < WIDTH))
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["query", "node", "shell", "sim", "expanded", "next"])
+
+    return run
+
+
 def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query``, ``node`` for the vertices found for each query, its ``k`` nearest among them where they were reached.
 
@@ -291,17 +329,12 @@ def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataF
         rows = pairs.join(vectors, "node").join(asked, "query").select("query", "node", "shell", "xq", "xn")
         return rows.mapInArrow(_products(top), "query long, node long, shell int, sim double").withColumn("expanded", F.lit(False))
 
+    parts = _shuffles(points)
+
     def cut(rows: DataFrame, beam: int) -> DataFrame:
         """The beam and what a wider one would have; of the vertices in it that aren't expanded the best, which are next."""
-        rows = rows.select("query", "node", "shell", "sim", "expanded")
-        rows = rows.withColumn("all", _rank("query", F.desc("sim"), F.col("node")))
-        rows = rows.withColumn("found", F.max(F.when(F.col("all") == k, F.col("sim"))).over(Window.partitionBy("query")))
-        own = Window.partitionBy("query", "shell")
-        rows = rows.withColumn("r", F.row_number().over(own.orderBy(F.desc("sim"), "node"))).where(F.col("r") <= int(WIDER * beam))
-        useful = F.col("found").isNull() | (F.expr(f"power(2D, shell - {top})") > F.col("found"))  # no product in the shell is larger
-        open_ = ~F.col("expanded") & (F.col("r") <= beam) & useful
-        left = F.sum(F.when(open_, 1).otherwise(0)).over(own.orderBy("r"))
-        return rows.select("query", "node", "shell", "sim", "expanded", (open_ & (left <= WIDTH)).alias("next"))
+        rows = rows.select("query", "node", "shell", "sim", "expanded").repartition(parts, "query").sortWithinPartitions("query")
+        return rows.mapInArrow(_cut(beam, top, k), "query long, node long, shell int, sim double, expanded boolean, next boolean")
 
     beam, step = BEAM, 0
     state = scratch.keep(cut(scored(start), beam), "beam0")
