@@ -84,53 +84,99 @@ def test_scores_of_long_texts(spark):
 
 
 def test_windows_and_scores():
-    """The score of each text is the sum, word by word, of what the table and the lexicon give."""
+    """The score of each text is the sum, word by word, of the logarithm of what the network gives; over all tokens that is 1."""
     texts = ["The cat sat. The dog", None, " a\n", "the zebra-cat! xyzzyx the"]
     words, places, at = pseudo_lm.words_of(pa.array(texts))
     plain = [[w for w in (x.strip(pseudo_lm.MARKS) or x for x in (t or "").lower().split())] for t in texts]
     assert [[words[p] for p in places[a:b]] for a, b in zip(at, at[1:], strict=False)] == plain
-    lexicon = pseudo_lm.Lexicon.of(["the", "cat", "a"], [5, 2, 1], np.arange(257))
-    table = np.random.default_rng(0).standard_normal(pseudo_lm.CELLS).astype(np.float32)
-    n, sums = pseudo_lm.Model(lexicon, table).score(pa.array(texts))
-    c, far = pseudo_lm.CLASSES, lexicon.coarse
+    lexicon = pseudo_lm.Lexicon.of(["the", "cat", "a"], [5, 2, 2], [1] * 7, np.arange(257))
+    network = pseudo_lm.Network.start(lexicon.counts, pseudo_lm.Settings())
+    rng = np.random.default_rng(0)
+    for name, x in network.p.items():
+        network.p[name] = x + rng.standard_normal(x.shape).astype(np.float32)
+    n, sums = pseudo_lm.Model(lexicon, network).score(pa.array(texts))
+
+    def distribution(context):
+        x = np.concatenate([network.p["embed"][c] for c in context])
+        h = np.tanh(x @ network.p["w"] + network.p["b"])
+        soft = lambda z: np.exp(z) / np.exp(z).sum()
+        classes = soft(h @ network.p["class"] + network.p["class_bias"])
+        out = np.zeros(len(lexicon.counts))
+        for t in range(1, len(out)):
+            c = network.class_of[t]
+            members = slice(network.starts[c], network.starts[c + 1])
+            out[t] = classes[c] * soft(network.p["out"][members] @ h + network.p["out_bias"][members])[network.place[t] - members.start]
+        return out
+
     for text, count, got in zip(plain, n, sums, strict=True):
-        classes, shares = lexicon.encode(text)
-        k = [0, 0, *classes.tolist(), 0, 0]
-        total = sum(float(table[(((far[k[i]] * c + k[i + 1]) * c + k[i + 3]) * pseudo_lm.COARSE + far[k[i + 4]]) * c + k[i + 2]]) + shares[i] for i in range(len(text)))
-        assert count == len(text) and got == pytest.approx(total, rel=1e-5)
+        tokens, shares = lexicon.encode(text)
+        k = [0, 0, *tokens.tolist(), 0, 0]
+        each = [distribution((k[i], k[i + 1], k[i + 3], k[i + 4])) for i in range(len(text))]
+        assert all(d.sum() == pytest.approx(1, rel=1e-4) for d in each)
+        assert count == len(text) and got == pytest.approx(sum(np.log(d[k[i + 2]]) + shares[i] for i, d in enumerate(each)), rel=1e-4, abs=1e-4)
 
 
 def test_training_learns_from_both_sides():
-    """In a corpus where both neighbours decide the middle, the network beats the single classes."""
-    rng, counts = np.random.default_rng(1), np.zeros(pseudo_lm.CELLS, dtype=np.int64)
-    c = pseudo_lm.CLASSES
-    for _ in range(4000):
-        left, right = rng.integers(8, 12, 2)
-        counts[((left * c + right) * pseudo_lm.COARSE) * c + 20 + (left * 4 + right) % 16] += 1
-    table = pseudo_lm.train(counts, pseudo_lm.Settings(steps=60))
-    assert np.allclose(np.exp(table.reshape(-1, c)).sum(axis=1), 1, atol=1e-3)
-    share = counts.reshape(-1, c).sum(axis=0) / counts.sum()
-    assert -(counts * table).sum() / counts.sum() < 0.5 * -(share[share > 0] * np.log(share[share > 0])).sum()
+    """Where only both neighbours together tell the middle, the network beats counts, and seeing the left only doesn't."""
+    rng = np.random.default_rng(1)
+    left, right = rng.integers(0, 8, (2, 30_000))
+    rows = np.stack([left * 0, 8 + left, 8 + right, left * 0, 20 + (left + right) % 8], axis=1).astype(np.int32)
+    counts = np.bincount(rows.ravel(), minlength=28)
+    loss = {only: pseudo_lm.train(rows, counts, pseudo_lm.Settings(left_only=only, passes=6))[1] for only in (False, True)}
+    assert loss[False]["network"] < 0.7 * loss[False]["unigram"] < loss[True]["network"] + 0.3
+
+
+def test_gradients():
+    """A small step against the gradient lowers the loss by about the gradient's square, for each parameter."""
+    rng = np.random.default_rng(2)
+    rows = rng.integers(1, 30, (64, 5)).astype(np.int32)
+    network = pseudo_lm.Network.start(np.bincount(rows.ravel(), minlength=30), pseudo_lm.Settings())
+    network.p = {k: (v + 0.3 * rng.standard_normal(v.shape)).astype(np.float64) for k, v in network.p.items()}
+    seen = {}
+
+    class Squares(dict):
+        def __getitem__(self, name):
+            return seen.setdefault(name, np.zeros_like(network.p[name]))
+
+    before = {k: v.copy() for k, v in network.p.items()}
+    network.step(rows, Squares(), 0.0)
+    loss = lambda: -network.log_prob(rows).mean()
+    for name in before:
+        grad = np.sqrt(seen[name])  # of one step, the gradient's size
+        at = np.unravel_index(grad.argmax(), grad.shape)
+        network.p[name][at] += 1e-4
+        up = loss()
+        network.p[name][at] -= 2e-4
+        down = loss()
+        network.p[name][at] += 1e-4
+        assert abs(up - down) / 2e-4 == pytest.approx(grad[at], rel=0.02), name
 
 
 def test_pseudo_likelihood(spark):
     docs = documents(spark, (1, None), (2, "  "), (None, " a\tb\n"), (3, "x"), (3, "x"), (4, "z" * 5000))
-    rows = {(r.doc_id, r.n_tokens): r for r in pseudo_lm.pseudo_likelihood(docs, pseudo_lm.Settings(steps=3)).collect()}
+    rows = {(r.doc_id, r.n_tokens): r for r in pseudo_lm.pseudo_likelihood(docs, pseudo_lm.Settings(passes=1)).collect()}
     assert rows[1, 0].log_prob == 0 and rows[2, 0].mean_log_prob is None
     assert rows[None, 2].mean_log_prob == pytest.approx(rows[None, 2].log_prob / 2) and rows[3, 1].log_prob < 0
-    assert pseudo_lm.pseudo_likelihood(docs.limit(0), pseudo_lm.Settings(steps=1)).collect() == []
-
-
-def test_counts_cover_every_token(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(5)
-    seen = []
-    original = pseudo_lm.train
+    assert pseudo_lm.pseudo_likelihood(docs.limit(0), pseudo_lm.Settings(passes=1)).collect() == []
+
+
+def test_the_model_of_the_corpus(spark):
+    """Counts cover every token, windows come from all partitions, and the network beats counts and the left side alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(5)
+    model = pseudo_lm.learn(docs)
+    tokens = sum(len((r.text or "").split()) for r in docs.select("text").collect())
+    assert model.lexicon.counts.sum() == tokens
+    left = pseudo_lm.learn(docs, pseudo_lm.Settings(left_only=True)).losses
+    print(model.losses, left)
+    assert model.losses["network"] < 0.95 * model.losses["unigram"] and model.losses["network"] < left["network"]
+    few = pseudo_lm.Settings(windows=2000, passes=1)
+    sizes, original = [], pseudo_lm.train
     try:
-        pseudo_lm.train = lambda counts, settings: seen.append(int(counts.sum())) or original(counts, settings)
-        rows = pseudo_lm.pseudo_likelihood(docs, pseudo_lm.Settings(steps=1)).collect()
+        pseudo_lm.train = lambda rows, *a: sizes.append(len(rows)) or original(rows, *a)
+        pseudo_lm.learn(docs, few)
     finally:
         pseudo_lm.train = original
-    assert seen == [sum(r.n_tokens for r in rows)] == [sum(len((r.text or "").split()) for r in docs.select("text").collect())]
+    assert sizes[0] == pytest.approx(few.wanted(tokens), rel=0.5) and few.wanted(16 * tokens) == pytest.approx(2 * few.wanted(tokens), rel=0.01)
 
 
 MAKE = pii.Surrogates("k")
