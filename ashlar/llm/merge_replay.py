@@ -1,11 +1,17 @@
-"""Byte-level BPE by replaying merges over all distinct words at once.
+"""Byte-level BPE by replaying merges over the corpus' distinct words.
 
-A task gathers blocks of its documents and takes the distinct parts that its
-worker hasn't seen. All their words stand in one array of tokens, with links
+The parts of all texts between spaces are counted over the corpus. Those that occur
+most often, as many as all executors can hold (at most BASE_UNITS, told by their
+counts, nine tenths of all parts or so), form one table of words in partitions, and
+each is replayed once: a partition's words stand in one array of tokens, with links
 between neighbours. An inverted index leads from the rank of a token pair to the
 positions where the pair stands, and a heap holds the ranks that have positions.
 The lowest rank is taken, its merge is applied at every position still valid,
-and only the two pairs beside each merged position are looked up again.
+and only the two pairs beside each merged position are looked up again. The table of
+words and their ids then goes to all executors, where texts are put together from it.
+The rest, which occur a few times each, are replayed in the same way, but where they
+stand: a block's new words at once. To join them back, all texts would have to be
+shuffled besides them.
 
 A merge may make a pair of lower rank, as any split of a token's bytes counts as
 a pair. The order of ranks over all words is then not that word's own, so words
@@ -30,11 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import tune
-from .units import Kept, UnitCache, blocks
+from .scratch import Scratch
+from .units import Kept, UnitCache, blocks, count_units
 
 #: Matches of the pattern whose ids a worker keeps; others are replayed again.
 MOST_KNOWN = 300_000
+#: Parts of texts, of some tens of bytes each, whose ids go to all executors, none longer than LONGEST characters.
+BASE_UNITS, LONGEST = 400_000, 64
+#: Parts that are replayed at once.
+TOGETHER = 50_000
 #: Places from which on a merge is applied to all of them by array operations.
 FEW = 24
 
@@ -208,16 +218,58 @@ def encoder(path: str, pattern: str) -> tuple[MergeReplay, UnitCache]:
     return _REPLAYS[path, pattern]
 
 
+def corpus_codes(scratch: Scratch, texts: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``unit`` and ``ids`` of the corpus' most frequent parts of texts, at most BASE_UNITS: those of a space and the unit."""
+    counted = texts.mapInArrow(count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    units = scratch.keep(counted.where((F.col("n") > 1) & (F.length("unit") <= LONGEST)), "units")
+    # The least power of two that not too many counts reach: no order of all units is needed.
+    power, held, least = F.floor(F.log2("n")).cast("int"), 0, 63
+    for row in units.groupBy(power.alias("power")).agg(F.count("*").alias("units")).orderBy(F.desc("power")).collect():
+        held += row.units
+        if held > BASE_UNITS:
+            break
+        least = row.power
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = encoder(path, pattern)
+        for table in gathered(batches, TOGETHER):
+            words = table.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.array(own.encode_many([" " + w for w in words]), pa.binary())], names=["unit", "ids"])
+
+    frequent = units.where(F.col("n") >= F.lit(1 << least)).select("unit")
+    return scratch.keep(frequent.mapInArrow(replay, "unit string, ids binary"), "codes")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every whole text, decode its ids, and give a digest of either: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    tune(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "merge-replay")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    codes = corpus_codes(scratch, texts, path, pattern).toArrow()
+    shared = spark.sparkContext.broadcast((codes.column("unit").combine_chunks(), codes.column("ids").combine_chunks()))  # at most BASE_UNITS
+    name = scratch.root
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, cache = encoder(path, pattern)
+        if cache.base_of != name:  # a worker builds it once
+            units, ids = shared.value
+            cache.base, cache.base_of = dict(zip(units.to_pylist(), ids.to_pylist(), strict=True)), name
         decimal = [str(i) for i in range(len(replay.bytes_of))]
-        for doc_ids, texts in blocks(batches):
+        for doc_ids, some in blocks(batches):
             counts, coded, decoded = [], [], []
-            flat, at = cache.encode(texts)
+            flat, at = cache.encode(some)
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 ids = flat[a:b].tolist()
                 counts.append(len(ids))
@@ -226,5 +278,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             columns = [pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

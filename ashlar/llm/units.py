@@ -76,6 +76,8 @@ class UnitCache:
         self.encode_many = encode_many
         self.encode_units = encode_units or (lambda words: encode_many([" " + w for w in words]))
         self.kept = Kept(most, longest)  # by the part without its space
+        self.base: dict[str, bytes] = {}  # parts whose ids are known from the start
+        self.base_of: str | None = None  # what that table is of
         self.marks, self.encode_whole, self.largest = marks, encode_whole, largest  # no id is larger
 
     def _ids(self, words: pa.Array) -> tuple[list[bytes], list[int]]:
@@ -83,7 +85,13 @@ class UnitCache:
         wide = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(words), words), pc.equal(words, ""))
         odd = np.flatnonzero(wide.to_numpy(zero_copy_only=False)).tolist()
         words = words.to_pylist()
-        out = self.kept.get_many(words)
+        if self.base:
+            out = list(map(self.base.get, words))
+            rest = [k for k, x in enumerate(out) if x is None]
+            for k, x in zip(rest, self.kept.get_many([words[k] for k in rest]), strict=True):
+                out[k] = x
+        else:
+            out = self.kept.get_many(words)
         for k in odd:
             out[k] = b""
         new = [k for k, x in enumerate(out) if x is None]
@@ -151,6 +159,18 @@ class UnitCache:
         return flat[places], np.concatenate(([0], ends[at[1:] - 1].astype(np.int64)))
 
 
+def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``unit`` and ``n``: the parts after a space of all texts, the second column, that neither begin nor end with white space."""
+    for _, texts in blocks(batches):
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        heads = np.zeros(len(split.flatten()), dtype=bool)
+        heads[split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()] = True
+        found = pc.value_counts(split.flatten().filter(pa.array(~heads)))
+        unit, n = found.field("values"), found.field("counts")
+        plain = pc.and_(pc.equal(pc.utf8_trim_whitespace(unit), unit), pc.not_equal(unit, ""))
+        yield pa.RecordBatch.from_arrays([unit.filter(plain), n.filter(plain)], names=["unit", "n"])
+
+
 #: Bytes of text that a block gathers.
 BLOCK_BYTES = 4_000_000
 

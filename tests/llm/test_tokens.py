@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from ashlar.llm import merge_replay, packing, token_store, units
 from ashlar.llm.queries import tokenizer
+from ashlar.llm.scratch import Scratch
 
 from .helpers import FOLDER, documents
 
@@ -226,3 +227,21 @@ def test_round_trip(spark, tik):
         ids = tik.encode_ordinary(text)
         assert tuple(r)[1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert merge_replay.round_trip(docs.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_words_of_the_corpus_are_replayed_once(spark, tik, monkeypatch):
+    """The table of words has the library's ids, and as many words as are allowed; what isn't in it is encoded all the same."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    counts = {}
+    for text in texts.values():
+        for unit in text.split(" ")[1:]:
+            counts[unit] = counts.get(unit, 0) + 1
+    plain = {u: n for u, n in counts.items() if u and u == u.strip() and n > 1 and len(u) <= 64}
+    want = {i: hashlib.sha256(",".join(map(str, tik.encode_ordinary(t))).encode()).hexdigest() for i, t in texts.items()}
+    for most in (400_000, 50, 0):
+        monkeypatch.setattr(merge_replay, "BASE_UNITS", most)
+        rows = merge_replay.corpus_codes(Scratch(spark, "t"), docs, RANKS, public_tokenizers.PATTERN).collect()
+        assert len(rows) <= most and (most < 400_000 or {r.unit for r in rows} == set(plain)) and (most != 50 or rows)
+        assert all(np.frombuffer(r.ids, "<u4").tolist() == tik.encode_ordinary(" " + r.unit) for r in rows)
+        assert {r.doc_id: r.ids_sha256 for r in merge_replay.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()} == want
