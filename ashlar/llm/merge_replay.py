@@ -40,9 +40,9 @@ from .scratch import Scratch
 from .units import Kept, UnitCache, blocks, count_units
 
 #: Matches of the pattern whose ids a worker keeps; others are replayed again.
-MOST_KNOWN = 300_000
+MOST_KNOWN = 200_000
 #: Parts of texts, of some tens of bytes each, whose ids go to all executors, none longer than LONGEST characters.
-BASE_UNITS, LONGEST = 400_000, 64
+BASE_UNITS, LONGEST = 300_000, 64
 #: Parts that are replayed at once.
 TOGETHER = 50_000
 #: Places from which on a merge is applied to all of them by array operations.
@@ -214,7 +214,7 @@ def encoder(path: str, pattern: str) -> tuple[MergeReplay, UnitCache]:
     """The replay of a file's ranks and a cache before it, one for each Python worker."""
     if (path, pattern) not in _REPLAYS:
         replay = MergeReplay(read_ranks(path), pattern)
-        _REPLAYS[path, pattern] = replay, UnitCache(replay.encode_many)
+        _REPLAYS[path, pattern] = replay, UnitCache(replay.encode_many, most=MOST_KNOWN)
     return _REPLAYS[path, pattern]
 
 
@@ -223,7 +223,7 @@ def corpus_codes(scratch: Scratch, texts: DataFrame, path: str, pattern: str) ->
     counted = texts.mapInArrow(count_units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units = scratch.keep(counted.where((F.col("n") > 1) & (F.length("unit") <= LONGEST)), "units")
     # The least power of two that not too many counts reach: no order of all units is needed.
-    power, held, least = F.floor(F.log2("n")).cast("int"), 0, 63
+    power, held, least = F.floor(F.log2("n")).cast("int"), 0, 62
     for row in units.groupBy(power.alias("power")).agg(F.count("*").alias("units")).orderBy(F.desc("power")).collect():
         held += row.units
         if held > BASE_UNITS:
