@@ -62,6 +62,31 @@ def test_a_dense_group_of_near_copies(spark, monkeypatch):
     check_near(spark, documents(spark, *rows), 3, 85)
 
 
+def test_templates_form_no_group(spark, monkeypatch):
+    """1,500 texts that share half their shingles, and 60 pairs among them that are near copies: all pairs found, no large group."""
+    rng = random.Random(4)
+    template = [f"t{k}" for k in range(80)]
+    rows = [(k, " ".join(template + [f"w{rng.randrange(10**6)}" for _ in range(40)])) for k in range(1500)]
+    for k in range(60):
+        words = rows[k][1].split()
+        words[rng.randrange(85, 118)] = "edited"
+        rows.append((2000 + k, " ".join(words)))
+    rng.shuffle(rows)
+    seen, original = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda scratch, edges, name: seen.append((name, original(scratch, edges, name))) or seen[-1][1])
+    out = check_near(spark, documents(spark, *rows), 3, 85)
+    assert sum(not r.kept for r in out) == 60
+    (groups,) = [df for name, df in seen if name == "groups"]
+    assert groups.groupBy("component").count().agg(F.max("count")).first()[0] < 20
+
+
+def test_one_document_with_several_texts(spark):
+    a, b, c = ("a b c d e f g", "p q r s t u v", "h i j k l m n")
+    docs = documents(spark, (1, a), (2, a), (2, b), (3, b), (4, c), (4, a + " z"), (5, c), (6, "x y z w"))
+    rows = near_dedup.near_duplicates(docs, 3, 80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 1, False), (4, 1, False), (5, 1, False), (6, 6, True)]
+
+
 def test_near_duplicates_of_odd_texts(spark):
     docs = documents(spark, (1, None), (2, ""), (3, "A b"), (4, "a  B\n"), (None, "a b"), (None, None), (5, "x " * 9000), (6, "X " * 9000), (7, "q w e r"), (7, "q w e r"))
     rows = near_dedup.near_duplicates(docs, 3, 85).collect()
