@@ -343,7 +343,7 @@ def plain_verdict(url, rules):
     host, path = (m.group(1).translate(helpers._LOWER), m.group(2)) if m else ("", "")
     best = {}
     for r in rules:
-        if re.search(r.regex, host + path):
+        if re.search(url_rules.plain_regex(r), host + path):
             best[r.site] = max(best.get(r.site, (0, "", "")), (len(r.text), r.text, r.verdict))
     return host, path, best[True][1] if True in best else None, (best.get(True) or best.get(False) or (0, "", "allow"))[2]
 
@@ -366,6 +366,28 @@ def test_rules_without_a_token(spark):
     assert url_rules.judge(pages, []).count() == 3
 
 
+def test_very_many_rules(spark, tmp_path, monkeypatch):
+    """100,000 rules from a file, joined and broadcast, against the few of them that can fit by trying each."""
+    rng = np.random.default_rng(0)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    real = [url_rules.site_rule("block", f"{a}.example.com/{b}") for a in ("m", "www", "therha") for b in ("de/1", "en/", "")] + [url_rules.pattern_rule("block", p) for p in ("casino*win", "*asino", "en/*.html", "therha*", "win.example")] + url_rules.production_rules()
+    filler = [f"{('block', 'allow')[k % 2]} {('site', 'pattern')[k % 3 > 0]} {w}.{('com/', 'example.com/en/', '*/x')[k % 3]}{k}" for k, w in enumerate(word() for _ in range(100_000))]
+    lines = [f"{r.verdict} {'site' if r.site else 'pattern'} {r.text}" for r in real]
+    (tmp_path / "rules.txt").write_text("\n".join(["# rules", "", *lines, *filler, lines[0]]))
+    rules = url_rules.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert rules.count() == len(real) + len(filler)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    want = sorted(repr((r.page_id, *plain_verdict(r.url, real))) for r in pages.collect())
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(url_rules, "BROADCAST_RULES", most)
+        began = time.time()
+        assert sorted(repr(tuple(r)) for r in url_rules.judge(pages, rules).collect()) == want
+        assert time.time() - began < 60
+    table = {r.rule: r for r in url_rules.rule_table(url_rules.literal_rules(spark, real)).collect()}
+    assert all(table[r.text].regex == url_rules.plain_regex(r) for r in real)
+    assert sorted(table["casino*win"].tokens) == [""] and table["m.example.com/de/1"].tokens == ["m", "example", "com", "de"]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
