@@ -4,11 +4,12 @@ A text is its words, split at white space. Of each run of K words, the minimal
 word by hash is found; the run is a closed syncmer, and its hash an anchor, if
 that word is the run's first or last. Whether a run is chosen depends on the run
 alone, so an edit moves no anchors beyond its own K words. The fingerprint has
-all anchors of the text, however many, in text order, as eight hex digits each.
+all anchors of the text, however many, in text order, as sixteen hex digits each.
 
-Two fingerprints are matched by position: of the distinct anchors of both
-together, those count that both have and that stand at the same place, by their
-first ones, among the shared ones. The likeness is their share.
+Two fingerprints are matched by position: of the distinct anchors that both have, in
+the order of their first ones, those count that follow the same shared anchor in both,
+and one more. The likeness is their share of the distinct anchors of both together.
+A passage that was moved, put in or taken out so breaks the order at its ends alone.
 
 Defined cases: a text of fewer than K words has one anchor, the hash of all its
 words; without words (or null, which is the empty text) the fingerprint is the
@@ -29,8 +30,8 @@ from .scratch import Scratch
 K = 3
 #: Intervals of doc_id with about equally many rows; each is cut evenly into buckets.
 INTERVALS = 128
-#: Buckets of neighbouring documents to a shuffle partition.
-BUCKETS_A_PARTITION = 8
+#: Buckets of neighbouring documents to a shuffle partition, and bytes of text of a partition.
+BUCKETS_A_PARTITION, PARTITION_BYTES = 8, 32 << 20
 
 
 def anchors(words: Column) -> Column:
@@ -39,9 +40,8 @@ def anchors(words: Column) -> Column:
     some = F.greatest(n - (K - 1), F.lit(0))
     shift = lambda i: F.slice(words, F.lit(i + 1), some)
     ends = F.zip_with(shift(0), shift(2), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    low = F.lit(0xFFFFFFFF).cast("long")
-    runs = F.zip_with(ends, shift(1), lambda e, m: F.when(F.least(e["a"], e["b"]) <= m, F.xxhash64(e["a"], m, e["b"]).bitwiseAND(low)))
-    short = F.when(n > 0, F.array(F.xxhash64(words).bitwiseAND(low))).otherwise(F.array().cast("array<long>"))
+    runs = F.zip_with(ends, shift(1), lambda e, m: F.when(F.least(e["a"], e["b"]) <= m, F.xxhash64(e["a"], m, e["b"])))
+    short = F.when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
     return F.when(n >= K, F.array_compact(runs)).otherwise(short)
 
 
@@ -52,15 +52,20 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def as_text(prints: Column) -> Column:
-    return F.array_join(F.transform(prints, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(prints, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """``df`` with the likeness, from 0 to 1, of two columns of fingerprints."""
-    df = df.withColumn("__both", F.size(F.array_union(a, b)))
-    shared = F.array_intersect(a, b), F.array_intersect(b, a)  # each distinct, in the order of its first
-    same = F.size(F.array_compact(F.zip_with(*shared, lambda x, y: F.when(x == y, x))))
-    return df.withColumn(out, F.when(F.col("__both") == 0, 1.0).otherwise(same / F.col("__both"))).drop("__both")
+    df = df.withColumns({"__both": F.size(F.array_union(a, b)), "__a": F.array_intersect(a, b), "__b": F.array_intersect(b, a)})
+
+    def follow(shared: str) -> Column:
+        """Each shared anchor, distinct and in the order of its first, with the one before it."""
+        rest = F.greatest(F.size(shared) - 1, F.lit(0))
+        return F.zip_with(F.slice(shared, F.lit(1), rest), F.slice(shared, F.lit(2), rest), lambda x, y: F.xxhash64(x, y))
+
+    same = F.size(F.array_intersect(follow("__a"), follow("__b"))) + F.when(F.size("__a") > 0, 1).otherwise(0)
+    return df.withColumn(out, F.when(F.col("__both") == 0, 1.0).otherwise(same / F.col("__both"))).drop("__both", "__a", "__b")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -73,9 +78,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "syncmers")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = rows.select(F.percentile_approx("doc_id", [i / INTERVALS for i in range(INTERVALS + 1)]).alias("b")).first().b or [0]
-    bounds = sorted(set(bounds))
-    parts = -(-BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")) // INTERVALS)
+    size = rows.select(F.percentile_approx("doc_id", [i / INTERVALS for i in range(INTERVALS + 1)]).alias("bounds"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    bounds = sorted(set(size.bounds or [0]))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size.bytes or 0) // PARTITION_BYTES)  # as many as the texts need
+    parts = -(-BUCKETS_A_PARTITION * tasks // INTERVALS)
     least, most = F.lit(bounds[0]), bounds[-1]
     step = F.array(*[F.lit(x) for x in bounds])
     place = F.size(F.filter(step, lambda x: x <= F.col("doc_id")))  # of the interval, from 1; 0 for a null
@@ -92,7 +98,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     follow = follow.select(rows.doc_id, rows.text, rows.h, ghosts.bucket).dropDuplicates(["bucket"])
     every = rows.select("doc_id", "text", "h", "bucket", F.lit(0).alias("ghost")).unionByName(follow.withColumn("ghost", F.lit(1)))
 
-    every = with_fingerprint(every.repartition("bucket"), "text", "print")  # anchors aren't shuffled, but made where texts arrive
+    every = with_fingerprint(every.repartition(tasks, "bucket"), "text", "print")  # anchors aren't shuffled, but made where texts arrive
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h")
     every = every.select("doc_id", "ghost", "text", "print", F.lead("text").over(order).alias("next"), F.lead("print").over(order).alias("next_print")).where("ghost = 0")
     n = F.length("text")

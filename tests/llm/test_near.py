@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import re
+import struct
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from ashlar.llm import ann, near_dedup, syncmers
@@ -103,18 +106,60 @@ def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     assert near_dedup.without_near_duplicates(docs, 3, 60).count() == len({r[2] for r in few})
 
 
+def xx(value, seed):
+    """The hash that DataFrame functions give: of a string's bytes or a long, after what was hashed before it."""
+    data = value.encode() if isinstance(value, str) else struct.pack("<q", value)
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(data, seed & (1 << 64) - 1)))[0]
+
+
+def chained(values):
+    out = 42
+    for v in values:
+        out = xx(v, out)
+    return out
+
+
 def plain_anchors(text):
-    """Which runs are chosen, by comparing the same hashes in Python."""
-    return text.split()
+    """Anchors of a text, run by run."""
+    hashes = [xx(w, 42) for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    if len(hashes) < 3:
+        return [chained(hashes)] if hashes else []
+    return [chained(run) for run in zip(hashes, hashes[1:], hashes[2:], strict=False) if min(run) in (run[0], run[2])]
+
+
+def plain_likeness(a, b):
+    union = set(a) | set(b)
+    if not union:
+        return 1.0
+    both = set(a) & set(b)
+    first = [[x for x in dict.fromkeys(side) if x in both] for side in (a, b)]
+    before = [dict(zip(side[1:], side, strict=False)) for side in first]
+    return (sum(before[0].get(x) == before[1].get(x) for x in both if x in before[0] and x in before[1]) + bool(both)) / len(union)
+
+
+def as_hex(prints):
+    return "".join(f"{x & (1 << 64) - 1:016x}" for x in prints)
 
 
 def check_prints(rows, texts):
+    """Every column against the plain version."""
     for r, k in zip(rows, range(len(texts)), strict=True):
         text, following = texts[k], texts[(k + 1) % len(texts)]
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        prints = [plain_anchors(t) for t in (text, edited, following)]
+        assert (r.fingerprint, r.edited_fingerprint) == (as_hex(prints[0]), as_hex(prints[1]))
+        assert (r.near_edited, r.near_next) == (plain_likeness(prints[0], prints[1]), plain_likeness(prints[0], prints[2]))
+
+
+def test_a_moved_passage_breaks_the_order_at_its_ends(spark):
+    words = [f"w{k}" for k in range(400)]
+    moved = words[300:340] + words[:300] + words[340:]
+    texts = [" ".join(w) for w in (words, moved, words[::-1])]
+    rows = syncmers.fingerprints(documents(spark, *enumerate(texts))).orderBy("doc_id").collect()
+    check_prints(rows, texts)
+    assert rows[0].near_next > 0.9 and rows[1].near_next < 0.1
 
 
 def test_fingerprints(spark):
@@ -132,7 +177,7 @@ def test_fingerprints_with_more_buckets_than_rows(spark):
     rows = syncmers.fingerprints(documents(spark, *[(k * k * k, t) for k, t in enumerate(texts)]).repartition(3)).orderBy("doc_id").collect()
     check_prints(rows, texts)
     assert rows[2].near_next == 1.0 and rows[1].fingerprint == "" and rows[1].near_edited == 1.0 and rows[1].near_next == 0.0
-    assert len(rows[4].fingerprint) == 8  # fewer words than a run
+    assert len(rows[4].fingerprint) == 16  # fewer words than a run
 
 
 def test_closed_syncmers_by_hand(spark):
@@ -142,7 +187,7 @@ def test_closed_syncmers_by_hand(spark):
     chosen = [k for k in range(58) if min(hashes[k : k + 3]) in (hashes[k], hashes[k + 2])]
     rows = spark.createDataFrame([(" ".join(words),)], "t string").select(F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("h")).select(syncmers.anchors(F.col("h")).alias("a"))
     frame = spark.createDataFrame([(hashes[k], hashes[k + 1], hashes[k + 2]) for k in chosen], "a long, b long, c long")
-    expected = [r.x for r in frame.select(F.xxhash64("a", "b", "c").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("x")).collect()]
+    expected = [r.x for r in frame.select(F.xxhash64("a", "b", "c").alias("x")).collect()]
     assert rows.first().a == expected
 
 
@@ -158,9 +203,9 @@ def test_every_anchor_of_a_long_text_counts(spark):
     hashes = F.transform(F.split("t", " "), lambda w: F.xxhash64(w))
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", syncmers.as_text(syncmers.anchors(hashes)).alias("a"))
     assert [r.fingerprint for r in rows] == [r.a for r in frame.orderBy("k").collect()]
-    assert len({r.fingerprint for r in rows}) == len(texts) and len(rows[0].fingerprint) > 8 * 2500
+    assert len({r.fingerprint for r in rows}) == len(texts) and len(rows[0].fingerprint) > 16 * 2500
     assert all(0.9 < r.near_next < 1 for r in rows[: len(edits)])
-    codes = [{r.fingerprint[k : k + 8] for k in range(0, len(r.fingerprint), 8)} for r in rows[-2:]]
+    codes = [{r.fingerprint[k : k + 16] for k in range(0, len(r.fingerprint), 16)} for r in rows[-2:]]
     assert len(codes[0] & codes[1]) >= 20 and rows[-2].near_next > 0
 
 
