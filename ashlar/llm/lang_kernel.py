@@ -48,7 +48,7 @@ SPACE = 1 << 16
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
 #: Texts whose presence forms one matrix.
-MATRIX_ROWS = 128
+MATRIX_ROWS = 48
 #: Places of trigrams, for familiarity.
 TRIGRAMS = 1 << 22
 
@@ -117,7 +117,9 @@ def matrix(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def normed(rows: np.ndarray) -> np.ndarray:
     norms = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
-    return rows.astype(np.float32) / norms[:, None]
+    out = rows.astype(np.float32)
+    out /= norms[:, None]
+    return out
 
 
 def trigrams(text: str | None) -> np.ndarray:

@@ -293,7 +293,7 @@ class Surrogates:
 
     def __init__(self, key: str):
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
-        self.of = functools.lru_cache(maxsize=50_000)(self._of)
+        self.of = functools.lru_cache(maxsize=8_000)(self._of)
 
     def number(self, *what: object, bits: int = 128) -> int:
         return int.from_bytes(hashlib.shake_256(self.key + repr(what).encode()).digest(bits // 8 + 8), "big")

@@ -44,9 +44,11 @@ class Kept:
         return out
 
     def put_many(self, keys: list[str], values: Sequence[bytes]) -> None:
+        keys = keys[: self.half]
+        values = values[: self.half]
         if len(self.young) + len(keys) > self.half:
             self.old, self.young = self.young, {}
-        if len(keys) > self.half or not keys:
+        if not keys:
             return
         short = zip(keys, values, strict=True)
         if max(map(len, keys)) > self.longest:
@@ -80,8 +82,8 @@ class UnitCache:
         self.base_of: str | None = None  # what that table is of
         self.marks, self.encode_whole, self.largest = marks, encode_whole, largest  # no id is larger
 
-    def _ids(self, words: pa.Array) -> tuple[list[bytes], list[int]]:
-        """Ids of distinct parts, and the places of those that begin or end with white space, where a cut is no cut."""
+    def _ids(self, words: pa.Array, counts: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """Ids of distinct parts, which stand here so often, and the places of those that begin or end with white space, where a cut is no cut."""
         wide = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(words), words), pc.equal(words, ""))
         odd = np.flatnonzero(wide.to_numpy(zero_copy_only=False)).tolist()
         words = words.to_pylist()
@@ -99,7 +101,8 @@ class UnitCache:
         ids = self.encode_units(parts)
         for k, x in zip(new, ids, strict=True):
             out[k] = x
-        self.kept.put_many(parts, ids)
+        often = np.flatnonzero(counts[new] > 1).tolist() if new else []  # those that stand here once may never come again
+        self.kept.put_many([parts[k] for k in often], [ids[k] for k in often])
         return out, odd
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +141,7 @@ class UnitCache:
         units = coded.indices.to_numpy().astype(np.int32)
         at = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         heads = coded.take(pa.array(at[:-1])).to_pylist()
-        ids, odd = self._ids(coded.dictionary)
+        ids, odd = self._ids(coded.dictionary, np.bincount(units, minlength=len(coded.dictionary)))
         units[at[:-1]] = len(ids) + np.arange(len(heads))  # the first part has no space before it
         slow: dict[int, bytes] = {k: b"" for k, head in enumerate(heads) if head[-1:].isspace()}
         if odd:

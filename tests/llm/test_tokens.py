@@ -58,6 +58,10 @@ def test_a_full_cache_changes_nothing(whole):
     for seed in range(20):
         text = " ".join(random.Random(seed).choices(words, k=12))
         assert split(*tiny.encode([text])) == [whole(text)]
+    many = " ".join(["the cat sat"] * 3 + [f"w{k} w{k}" for k in range(50)])  # more than there is room for
+    for _ in range(3):
+        assert split(*tiny.encode([many])) == [whole(many)]
+    assert 0 < len(tiny.kept.young) <= 3
 
 
 def test_elias_fano():
