@@ -219,15 +219,15 @@ def fit(taught: list[Taught], landmarks: int, ridge: float) -> Model:
     labels = sorted({t.lang for t in taught})
     if not labels:
         return Model([], np.zeros((SPACE, 0), np.float32), np.zeros(0, np.float32), seen_in([]), 0.0)
-    x = normed(np.stack([t.presence for t in taught]))
+    x = np.stack([t.presence for t in taught])
     langs = np.array([t.lang for t in taught])
     by = [np.flatnonzero(langs == label).tolist() for label in labels]
     chosen = [places[turn] for turn in range(max(map(len, by))) for places in by if turn < len(places)]  # in turn from each language
-    marks = x[chosen[:landmarks]]
+    marks = normed(x[chosen[:landmarks]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])  # Nyström: K_mm to the power -1/2
-    z = (x @ marks.T).astype(np.float64) @ whiten
+    z = np.concatenate([normed(x[k : k + MATRIX_ROWS]) @ marks.T for k in range(0, len(x), MATRIX_ROWS)]).astype(np.float64) @ whiten
     y = np.where(langs[:, None] == np.array(labels), 1.0, -1.0)
     weight = np.ones(len(langs))
     for places in by:  # each language weighs the same

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -197,11 +197,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before += last[-1]
 
 
+def _numbers(path: Column) -> tuple[Column, Column]:
+    """A part's number and a file's own within it. Between them stands an id that may look like either."""
+    number = lambda pattern: F.regexp_extract(path, pattern, 1).cast("int")
+    return number(r"/part-(\d+)-[^/]*$").alias("part"), number(r"-c(\d+)\.[^/-]*$").alias("file")
+
+
 def read_documents(spark: SparkSession, where: str, scratch: Scratch) -> DataFrame:
     """Of each document in the files: doc_id, start over all files, n_tokens and the crc32 of its ids."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(where)
-    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("int")
-    files = files.select(number(r"part-(\d+)-").alias("part"), number(r"-c(\d+)[^/]*$").alias("file"), "content")
+    files = files.select(*_numbers(F.col("path")), "content")
     rows = scratch.keep(files.mapInArrow(_read, _READ), "rows")
     totals = rows.groupBy("part", "file").agg(F.sum("n_tokens").alias("total"))  # a row for each file
     before = totals.select("part", "file", (F.sum("total").over(Window.orderBy("part", "file")) - F.col("total")).alias("before"))

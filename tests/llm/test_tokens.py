@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ashlar.llm import merge_replay, packing, token_store, units
@@ -112,6 +113,12 @@ def small_blocks(run):
     return lambda batches: (out for batch in batches for k in range(batch.num_rows) for out in run(iter([batch.slice(k, 1)])))
 
 
+def test_numbers_of_files(spark):
+    paths = ["file:/x/part-7-c9.d/files/part-00012-c1234567-89ab-c123-8c45-c00000000001-c003.txt", "s3a://b/part-00000-2b-c1-c000.txt.zst"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select(*token_store._numbers(F.col("path"))).collect()
+    assert [tuple(r) for r in rows] == [(12, 3), (0, 0)]
+
+
 def test_widths():
     assert [token_store.width_for(n) for n in (50_257, 65_535, 65_536)] == [2, 2, 4]
     with pytest.raises(ValueError):
