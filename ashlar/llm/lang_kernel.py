@@ -18,7 +18,8 @@ familiarity: the share of the text's trigrams that the sample has, plus one over
 the root of their number, as few trigrams tell little. The least familiarity to
 pass is learned from texts that are left out: between what the texts of one half
 of the sample have by the other half and what they have with their letters
-shuffled. With ``reject``, texts below it are ``und``.
+shuffled. Words of letters and digits, such as keys, are in no language and don't
+count there, unless a text has nothing else. With ``reject``, texts below it are ``und``.
 
 The fit reads a bounded sample of ``Sample.texts`` whole texts, of which the driver
 gets places of n-grams only; prediction reads every whole text. As the kernel is
@@ -32,6 +33,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -122,6 +124,18 @@ def normed(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A run of letters and digits with a digit in it. Attempts start where a run does, so long runs are read once.
+_CODE = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]*[0-9][A-Za-z0-9_]*")
+
+
+def prose(text: str | None) -> str | None:
+    """The text with a space for each of its codes, or as it is if no letter were left."""
+    if not text:
+        return text
+    rest = _CODE.sub(" ", text)
+    return rest if any(map(str.isalpha, rest)) else text
+
+
 def trigrams(text: str | None) -> np.ndarray:
     """The place of each trigram of the text."""
     points = letters(text)
@@ -163,7 +177,8 @@ class Taught:
     @classmethod
     def of(cls, text: str, lang: str) -> Taught | None:
         row = np.zeros(SPACE, dtype=np.uint8)
-        return cls(lang, row, counted(trigrams(text)), counted(trigrams(shuffled(text)))) if presence(text, row) else None
+        own = prose(text)
+        return cls(lang, row, counted(trigrams(own)), counted(trigrams(shuffled(own)))) if presence(text, row) else None
 
 
 def seen_in(places: list[np.ndarray]) -> np.ndarray:
@@ -202,7 +217,7 @@ class Model:
 
     def foreign(self, text: str | None) -> bool:
         """Whether the text is in none of the languages."""
-        return familiarity(counted(trigrams(text)), self.seen) < self.least
+        return familiarity(counted(trigrams(prose(text))), self.seen) < self.least
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.labels or not texts:
