@@ -6,13 +6,13 @@
 2. A band of ROWS minima is a bucket. Each member of a bucket is paired with the
    bucket's most central member, the one whose own buckets are fullest. Pairs
    whose signatures agree in a share of less than the threshold less MARGIN go, so
-   texts that share no more than a template form no group. By the triangle
-   inequality of Jaccard distances, two texts that are linked are about equally far
-   from a centre: both stay, or, where one may not, the members left over are paired
-   with the most central of their own, TURNS times; what is then left of a bucket of
-   at most SMALL is compared pair by pair, by signatures. Components of what stays
-   are groups. A linked pair shares some nine of the buckets, and is lost only if
-   every one of them is large and holds it apart from all its centres.
+   texts that share no more than a template form no group. A member is done in a
+   bucket only if it is so near the centre that, by the triangle inequality of
+   distances, whatever it may be linked with (but for NOISE of the signatures) is
+   paired with the centre too. All others, near it or not, are paired with the most
+   central of their own, TURNS times; of what is then left of a bucket, however
+   large, all pairs of signatures are compared, two blocks in a task. Components of
+   what stays are groups. So no bucket drops a pair that it holds.
 3. In each group, the sets of all members are compared exactly: a large group is
    dealt into blocks, a task takes two blocks, counts shared shingles by a matrix
    product and returns links that span what it found connected, at most one for
@@ -47,8 +47,10 @@ from .scratch import Scratch
 BANDS, ROWS = 24, 6
 #: How far below the threshold the share of equal minima may be for two texts to be in a group.
 MARGIN = 0.15
-#: Centres that a bucket gets, and members left over that are compared pair by pair.
-TURNS, SMALL = 3, 48
+#: Centres that a bucket gets, and members left over that make a block, of which a task compares two.
+TURNS, LEFT_BLOCK = 3, 512
+#: By how much signatures of linked texts may agree less than the threshold, where a member is done in its bucket.
+NOISE = 0.03
 #: Texts and shingles of a block; a large group has up to MOST_BLOCKS blocks before they grow to LARGE_BLOCK texts.
 BLOCK, LARGE_BLOCK, MOST_BLOCKS, BLOCK_SHINGLES = 128, 1024, 32, 400_000
 
@@ -125,26 +127,68 @@ def _sign(words: int):
     return run
 
 
-def _alike(loose: float):
-    """Of pairs with signatures, whether these agree in a share of ``loose``."""
+def _alike(loose: float, settled: float):
+    """Of pairs with signatures, whether these agree in a share of ``loose``, and in one of ``settled``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).mean(axis=1) >= loose)], names=["u", "v", "near"])
+                share = (a == b).mean(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share >= loose), pa.array(share >= settled)], names=["u", "v", "near", "settled"])
 
     return run
 
 
-def _alike_in_bucket(loose: float):
-    """Of a bucket's few members, the pairs whose signatures agree in a share of ``loose``."""
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places each signature of ``a`` agrees with each of ``b``."""
+    out = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for x, y in zip(a.T.copy(), b.T.copy(), strict=True):
+        out += x[:, None] == y
+    return out
+
+
+def spanning(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of a symmetric matrix, pairs that span its components."""
+    left = near.any(axis=1)
+    u: list[int] = []
+    v: list[int] = []
+    for first in np.flatnonzero(left).tolist():
+        if left[first]:
+            left[first] = False
+            stack = [first]
+            while stack:
+                x = stack.pop()
+                new = np.flatnonzero(near[x] & left)
+                left[new] = False
+                found = new.tolist()
+                u += [x] * len(found)
+                v += found
+                stack += found
+    return u, v
+
+
+def _alike_in_blocks(loose: float):
+    """Of two blocks of a bucket, or of one, links that span the pairs whose signatures agree in a share of ``loose``.
+
+    Rows of two blocks are compared with the other's only; each block has a group of its own.
+    """
+    least = loose * BANDS * ROWS
 
     def compare(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
+        rep, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
-        i, j = np.nonzero(np.triu((sig[:, None, :] == sig[None, :, :]).mean(axis=2) >= loose, 1))
-        return pa.table({"u": rep[i], "v": rep[j]})
+        first = own == table.column("a")[0].as_py()
+        if first.all():
+            near = agreements(sig, sig) >= least
+            np.fill_diagonal(near, False)
+        else:
+            i, j = np.flatnonzero(first), np.flatnonzero(~first)
+            near = np.zeros((len(rep), len(rep)), dtype=bool)
+            near[np.ix_(i, j)] = agreements(sig[i], sig[j]) >= least
+            near |= near.T
+        u, v = spanning(near)
+        return pa.table({"u": rep[u], "v": rep[v]}) if u else pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
 
     return compare
 
@@ -198,6 +242,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = sets.join(first, (sets.digest == first.digest) & (sets.doc_id == first.rep), "left_semi").dropDuplicates(["digest"])
     reps = scratch.keep(reps.select(F.col("doc_id").alias("rep"), "n", "bands", "sig"), "reps")  # a document with several texts has several rows
     loose = percent / 100 - MARGIN
+    settled = loose + 1 - percent / 100 + NOISE
 
     # Buckets of two or more, each member with the sum of its buckets' sizes.
     members = reps.select("rep", F.explode("bands").alias("key")).distinct()
@@ -212,17 +257,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         met = scratch.keep(members.join(centres, "key").where("rep != u"), f"met{turn}")
         pairs = met.select("u", F.col("rep").alias("v")).distinct()
         pairs = pairs.join(sig.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v").join(sig.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u")
-        tried = scratch.keep(pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(_alike(loose), "u long, v long, near boolean"), f"tried{turn}")
+        tried = scratch.keep(pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(_alike(loose, settled), "u long, v long, near boolean, settled boolean"), f"tried{turn}")
         close = tried.where("near").select("u", "v")
         near = close if near is None else near.unionByName(close)
-        apart = tried.groupBy("u", "v").agg(F.max("near").alias("near")).where("NOT near").select("u", F.col("v").alias("rep"))
+        apart = tried.groupBy("u", "v").agg(F.min("settled").alias("settled")).where("NOT settled").select("u", F.col("v").alias("rep"))
         members = scratch.keep(met.join(apart, ["u", "rep"], "left_semi").select("key", "rep", "degree"), f"left{turn}")
         sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         members = members.join(sizes, "key")
         if turn < TURNS - 1:
             members = members.select("key", "rep", "degree")
-    few_left = members.where(F.col("size") <= SMALL).select("key", "rep").join(sig, "rep")
-    near = near.unionByName(few_left.groupBy("key").applyInArrow(_alike_in_bucket(loose), "u long, v long"))
+    blocks = F.ceil(F.col("size") / LEFT_BLOCK).cast("int")
+    rest = members.select("key", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own")).join(sig, "rep")
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "sig")
+    near = near.unionByName(rest.groupBy("key", "a", "b").applyInArrow(_alike_in_blocks(loose), "u long, v long"))
     near = scratch.keep(near.where("u != v").distinct(), "near")
 
     # Groups, their blocks, and the exact comparison of all of a group's texts.

@@ -6,6 +6,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -83,6 +84,28 @@ def test_templates_form_no_group(spark, monkeypatch):
     assert groups.groupBy("component").count().agg(F.max("count")).first()[0] < 20
 
 
+def test_a_large_bucket_loses_no_link(spark, monkeypatch):
+    """Where all texts share one bucket only and no two are near but 30 pairs of near copies, all of these are found, in blocks."""
+    signed = near_dedup._sign
+
+    def in_one_bucket(words):
+        run = signed(words)
+
+        def all_alike(batches):
+            for batch in run(batches):
+                yield batch.set_column(3, "bands", pa.array([[7]] * batch.num_rows, pa.list_(pa.int64())))
+
+        return all_alike
+
+    monkeypatch.setattr(near_dedup, "_sign", in_one_bucket)
+    monkeypatch.setattr(near_dedup, "LEFT_BLOCK", 64, raising=False)
+    rng = random.Random(8)
+    rows = [(k, [f"w{rng.randrange(400)}" for _ in range(150)]) for k in range(300)]
+    rows += [(10_000 + k, [*rows[k][1][:-5], *(f"e{k}x{i}" for i in range(5))]) for k in range(30)]
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(spark, *[(k, " ".join(text)) for k, text in rows]), 3, 85).collect()}
+    assert found == {k: k % 10_000 for k, _ in rows}
+
+
 def test_one_document_with_several_texts(spark):
     a, b, c = ("a b c d e f g", "p q r s t u v", "h i j k l m n")
     docs = documents(spark, (1, a), (2, a), (2, b), (3, b), (4, c), (4, a + " z"), (5, c), (6, "x y z w"))
