@@ -14,10 +14,12 @@ the four neighbours' embeddings. The output is a softmax in two levels over all
 tokens: over classes, then over the tokens of a class, each with an output vector
 of its own. Classes hold about equal sums of root frequencies, so either level is
 about the root of the vocabulary. The biases start from the counts of all tokens of
-all documents, so that training starts from the unigram distribution; the context's
-part is trained in numpy on windows drawn from all partitions, whose number grows
-with the corpus (``Settings.windows``). A part of the windows is left out and tells
-which pass was best.
+all documents, so that training starts from the unigram distribution. The context's
+part is trained in numpy: first on windows drawn from all partitions, whose number grows
+with the corpus (``Settings.windows``), of which a part is left out and tells which pass
+was best; then, unless those were all, on every window of every document. Tasks do that
+from the same start, each over its partitions, and of what each parameter was changed by
+those tasks that changed it the mean is taken. So the drawn windows are but the start.
 
 Defined cases: a text that is null, empty or white space has no tokens, a sum of
 0 and no mean; repeated rows stay (and count, in training, each time); an empty
@@ -47,11 +49,13 @@ MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…#&%$*|-–—_/\\"
 CHUNK = 65_536
 #: Rows of a matrix of classes.
 ROWS = 4096
+#: Windows of a step over all documents, tasks that go over them, and numbers in a row of what a task has changed.
+WHOLE_BATCH, TRAINERS, PART = 8192, 64, 16_384
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Windows to train on: all up to ``windows``, beyond it grows by the fourth root of their number."""
+    """Windows to start with: all up to ``windows``, beyond it grows by the fourth root of their number."""
 
     windows: int = 250_000
     passes: int = 3
@@ -161,6 +165,7 @@ class Network:
     class_of: np.ndarray
     place: np.ndarray
     starts: np.ndarray  # of each class' tokens, with the end
+    square: dict[str, np.ndarray] = field(default_factory=dict)  # sums of squared gradients, while it is trained
 
     @classmethod
     def start(cls, counts: np.ndarray, settings: Settings) -> Network:
@@ -247,10 +252,10 @@ class Network:
         dx = (dh @ p["w"].T).reshape(4 * n, -1)
         update("w", x.T @ dh)
         update("b", dh.sum(axis=0))
-        seen, to = np.unique(rows[:, :4], return_inverse=True)
-        grad = np.zeros((len(seen), dx.shape[1]), dtype=np.float32)
-        np.add.at(grad, to.ravel(), dx)
-        update("embed", grad, seen)
+        tokens = rows[:, :4].ravel()
+        order = np.argsort(tokens, kind="stable")
+        seen, at = np.unique(tokens[order], return_index=True)
+        update("embed", np.add.reduceat(dx[order], at), seen)
 
 
 def train(rows: np.ndarray, counts: np.ndarray, settings: Settings) -> tuple[Network, dict[str, float]]:
@@ -274,7 +279,7 @@ def train(rows: np.ndarray, counts: np.ndarray, settings: Settings) -> tuple[Net
             best, least = {k: v.copy() for k, v in network.p.items()}, now
         else:
             break
-    network.p = best
+    network.p, network.square = best, square
     return network, losses | {"network": least}
 
 
@@ -293,8 +298,54 @@ class Model:
         return np.diff(at), ends[at[1:]] - ends[at[:-1]]
 
 
+def _trainer(shared, settings: Settings):
+    """Train on all windows of a task's texts; rows of what has changed. ``shared``: the lexicon and the network to start from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, start = shared.value
+        rng = np.random.default_rng(settings.seed)
+        network = Network({k: v.copy() for k, v in start.p.items()}, start.class_of, start.place, start.starts)
+        square = {k: v.copy() for k, v in start.square.items()}
+        for _, some in blocks(batches):
+            found, places, at = words_of(some)
+            rows = windows(lexicon.encode(found)[0][places], at)
+            if settings.left_only:
+                rows[:, 2:4] = 0
+            rows = rows[rng.permutation(len(rows))]
+            for k in range(0, len(rows), WHOLE_BATCH):
+                network.step(rows[k : k + WHOLE_BATCH], square, settings.rate / (1 + settings.passes))
+        for name, value in network.p.items():
+            change = (value - start.p[name]).ravel()
+            for part in range(-(-len(change) // PART)):
+                own = change[part * PART : (part + 1) * PART]
+                if own.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([own.astype("<f4").tobytes()], pa.binary())], names=["name", "part", "data"])
+
+    return run
+
+
+def _mean_change(table: pa.Table) -> pa.Table:
+    """Of each number the mean over the tasks that changed it."""
+    total, n = 0.0, 0
+    for data in table.column("data"):
+        own = np.frombuffer(data.as_buffer(), "<f4")
+        total, n = total + own.astype(np.float64), n + (own != 0)
+    return table.slice(0, 1).select(["name", "part"]).append_column("data", pa.array([(total / np.maximum(n, 1)).astype("<f4").tobytes()], pa.binary()))
+
+
+def train_on_all(texts: DataFrame, lexicon: Lexicon, network: Network, settings: Settings) -> None:
+    """Go on with the network over every window of the texts."""
+    shared = texts.sparkSession.sparkContext.broadcast((lexicon, network))  # bounded by the vocabulary
+    schema = "name string, part int, data binary"
+    changes = texts.coalesce(TRAINERS).mapInArrow(_trainer(shared, settings), schema)
+    for row in changes.groupBy("name", "part").applyInArrow(_mean_change, schema).collect():  # as many numbers as the network has
+        own = np.frombuffer(row.data, "<f4")
+        network.p[row["name"]].ravel()[row.part * PART : row.part * PART + len(own)] += own
+    shared.unpersist()
+
+
 def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Count all words of all documents, and train on windows of all partitions."""
+    """Count all words of all documents, and train on all their windows, starting from what some of them teach."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pseudo-lm")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -328,7 +379,11 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Model:
     chosen = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(bound)) < F.lit(int(drawn * bound)))
     found = scratch.keep(chosen.mapInArrow(draw, "rows binary"), "windows").orderBy(F.xxhash64("rows")).toArrow()  # about as many as wanted
     rows = np.frombuffer(b"".join(found.column("rows").to_pylist()), "<i4").reshape(-1, 5)
-    return Model(lexicon, *train(rows, lexicon.counts, settings))
+    network, losses = train(rows, lexicon.counts, settings)
+    if share < 1:
+        train_on_all(texts, lexicon, network, settings)
+    network.square = {}
+    return Model(lexicon, network, losses)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,6 +1,7 @@
 """Language, language model, personal data, URL rules and the pipeline."""
 
 import ipaddress
+import random
 import re
 import time
 
@@ -192,6 +193,24 @@ def test_the_model_of_the_corpus(spark):
     assert sizes[0] == pytest.approx(few.wanted(tokens), rel=0.5) and few.wanted(16 * tokens) == pytest.approx(2 * few.wanted(tokens), rel=0.01)
 
 
+def test_every_window_trains(spark):
+    """Where few windows are drawn to start with, all tokens' embeddings are still learned, and all texts are scored the better for it."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(1500):
+        at = rng.randrange(300)
+        rows.append((k, " ".join(f"w{(at + i) % 300}" for i in range(60))))
+    docs = documents(spark, *rows).repartition(3)
+    settings = pseudo_lm.Settings(windows=40, passes=1)
+    model = pseudo_lm.learn(docs, settings)
+    start = pseudo_lm.Network.start(model.lexicon.counts, settings)
+    moved = (model.network.p["embed"] != start.p["embed"]).any(axis=1)
+    assert moved[model.lexicon.counts > 0].all()
+    texts = pa.array([t for _, t in rows[:200]])
+    by_counts = pseudo_lm.Model(model.lexicon, start).score(texts)[1].mean()
+    assert model.score(texts)[1].mean() > 0.97 * by_counts
+
+
 MAKE = pii.Surrogates("k")
 
 
