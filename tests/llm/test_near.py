@@ -288,6 +288,20 @@ def test_beams_grow_until_recall_is_reached(spark, monkeypatch):
     assert recall_of(spark, x, 40) < 0.8
 
 
+def test_shards(spark, monkeypatch):
+    """Vectors of several shards are found, and rounds and steps are no jobs of their own."""
+    monkeypatch.setattr(ann, "SHARD", 600, raising=False)
+    monkeypatch.setattr(ann, "LEAST_SHARD", 100, raising=False)
+    x = np.random.default_rng(5).standard_normal((4000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    spark.sparkContext.setJobGroup("shards", "shards")
+    try:
+        assert recall_of(spark, x, 40) >= 0.95
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("shards")) < 70
+
+
 def test_recall_with_outlying_norms(spark):
     """One vector of a huge norm, norms over many powers of ten, and products beyond the range of doubles."""
     rng = np.random.default_rng(7)
