@@ -60,7 +60,7 @@ OFFERS = 12
 ORDERS, ORDER_BLOCK, SIGNS = 4, 512, 12
 #: Rounds end at FEW_CHANGES; MAX_ROUNDS only keeps a build that doesn't settle from going on for ever.
 MAX_ROUNDS, FEW_CHANGES = 30, 0.03
-#: The first beam, by what it grows, and how many of it are expanded in a step.
+#: The first beam, over all shards, by what it grows, and how many of it are expanded in a step.
 BEAM, WIDER, WIDTH = 128, 1.6, 128
 #: Vertices of a shell among which each query's first ones are looked for, and how many of them it gets.
 ENTRIES, ENTER = 256, 4
@@ -81,16 +81,20 @@ def _matrix(column: pa.Array, kind: str = "<f2") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and bytes, as doubles, of the vectors that take part."""
-    for batch in batches:
-        rows = []
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if i is not None and v and None not in v:
-                x = np.array(v, dtype="<f8") + 0.0  # no negative zero
-                if np.isfinite(x).all() and x.any():
-                    rows.append((i, x.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["id", "vector"])
+def _clean(kind: str):
+    """id and bytes of the vectors that take part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if i is not None and v and None not in v:
+                    x = np.array(v, dtype=kind) + np.zeros(1, kind)  # no negative zero
+                    if np.isfinite(x).all() and x.any():
+                        rows.append((i, x.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["id", "vector"])
+
+    return run
 
 
 _EMPTY = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
@@ -489,9 +493,10 @@ def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataF
     exact = points.select("shell", "x").mapInArrow(_sampled(sample, top, k), "query long, sim double")
     exact = exact.withColumn("r", _rank("query", F.desc("sim"))).where(F.col("r") <= k).groupBy("query").agg(F.min("sim").alias("bound"), F.count("*").alias("want"))
     exact = scratch.keep(exact, "exact")  # a row for each of the sample
-    beams, largest = [BEAM], points.count()
+    # A query has a beam in each shard, so the first one is dealt over those of the shell that has most.
+    beams, largest = [max(2, BEAM // max(n for _, _, n in shards))], points.count()
     while beams[-1] < largest:
-        beams.append(int(WIDER * beams[-1]))
+        beams.append(int(WIDER * beams[-1] + 0.5))
     tried = met(bounded.join(F.broadcast(exact), "query")).mapInArrow(_trial(beams, width, entries, top), "query long, turn int, hits long")
     tried = tried.groupBy("query", "turn").agg(F.sum("hits").alias("hits")).join(F.broadcast(exact), "query")
     recall = {r.turn: r.recall for r in tried.groupBy("turn").agg(F.avg(F.least("hits", "want") / F.col("want")).alias("recall")).collect()}
@@ -499,14 +504,17 @@ def search(scratch: Scratch, graph: DataFrame, points: DataFrame, queries: DataF
     return met(bounded).mapInArrow(_finds(beams[: turn + 1], width, entries, top, k, error), found)
 
 
-def _shells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shells(kind: str):
     """node, shell and scaled vector. The shell of s holds norms from 2^(s - 1) up to 2^s."""
-    for batch in batches:
-        if batch.num_rows:
-            x = _matrix(batch.column(1), "<f8")
-            scaled, shell = _scaled(x)
-            x = np.column_stack([scaled, np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shell.astype(np.int32)), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], names=["node", "shell", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                scaled, shell = _scaled(_matrix(batch.column(1), kind).astype(np.float64))
+                x = np.column_stack([scaled, np.sqrt(np.maximum(1 - (scaled * scaled).sum(axis=1), 0))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shell.astype(np.int32)), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], names=["node", "shell", "x"])
+
+    return run
 
 
 def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -517,21 +525,28 @@ def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ldexp(x, -more[:, None]), most + more
 
 
-def _as_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _as_queries(kind: str):
     """Queries of length one with 0 as the added component."""
-    for batch in batches:
-        if batch.num_rows:
-            x, _ = _scaled(_matrix(batch.column(1), "<f8"))
-            x = np.column_stack([x / np.sqrt((x * x).sum(axis=1))[:, None], np.zeros(len(x))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], names=["query", "x"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, _ = _scaled(_matrix(batch.column(1), kind).astype(np.float64))
+                x = np.column_stack([x / np.sqrt((x * x).sum(axis=1))[:, None], np.zeros(len(x))])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], names=["query", "x"])
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            with np.errstate(over="ignore", invalid="ignore"):
-                score = np.einsum("ij,ij->i", _matrix(batch.column(2), "<f8"), _matrix(batch.column(3), "<f8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query", "node", "score"])
+    return run
+
+
+def _exact(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = np.einsum("ij,ij->i", *(_matrix(batch.column(k), kind).astype(np.float64) for k in (2, 3)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query", "node", "score"])
+
+    return run
 
 
 #: Vertices found for a query that are compared by their original vectors, beyond those it asks for: half floats leave some in doubt.
@@ -544,27 +559,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     ``vectors``: ``vec_id`` and ``embedding``. Columns: query_id, rank, vec_id, score.
     """
     scratch = Scratch(vectors.sparkSession, "ann")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    kept = rows.select("id", "v").mapInArrow(_clean, "id long, vector binary")
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # kept as it is, else as doubles
+    kind, width = ("<f4", 4) if single else ("<f8", 8)
+    of = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), of.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    kept = rows.select("id", "v").mapInArrow(_clean(kind), "id long, vector binary")
     kept = scratch.keep(kept.groupBy("id").agg(F.min("vector").alias("vector")), "kept")
     shape = kept.agg(F.min(F.octet_length("vector")).alias("least"), F.max(F.octet_length("vector")).alias("most")).first()
     if shape.most is None:
         return scratch.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if shape.least < shape.most:
-        zero = F.lit(bytes(8))
+        zero = F.lit(bytes(width))
         kept = scratch.keep(kept.withColumn("vector", F.rpad("vector", shape.most, zero)), "padded")
 
     # A vertex is a distinct vector, by its least id, with the k + 1 least ids that have it.
-    nodes = scratch.keep(kept.groupBy("vector").agg(F.min("id").alias("node")), "nodes")
-    least = kept.withColumn("r", _rank("vector", F.col("id"))).where(F.col("r") <= k + 1)
-    members = scratch.keep(least.join(nodes.select("vector", "node"), "vector").select("node", "id"), "members")
-    points = scratch.keep(nodes.select("node", "vector").mapInArrow(_shells, "node long, shell int, x binary"), "points")
-    graph = build(scratch, points, shape.most // 8 + 1)
-
-    asking = kept.join(rows.where("asks").select("id").distinct(), "id", "left_semi").join(nodes.select("vector", "node"), "vector").select("id", "node")
+    nodes = scratch.keep(kept.groupBy("vector").agg(F.min("id").alias("node"), F.count("*").alias("n")), "nodes")
+    several, own = nodes.where("n > 1").select("vector", "node"), nodes.where("n = 1").select("node", F.col("node").alias("id"))
+    owners, members = own, own
+    if not several.isEmpty():  # else no vector has to be moved for it
+        copies = scratch.keep(kept.join(several, "vector").select("node", "id"), "copies")
+        least = copies.withColumn("r", _rank("node", F.col("id"))).where(F.col("r") <= k + 1)
+        owners, members = own.unionByName(copies), own.unionByName(least.select("node", "id"))
+    scratch.drop("kept", "padded")
+    points = scratch.keep(nodes.select("node", "vector").mapInArrow(_shells(kind), "node long, shell int, x binary"), "points")
+    graph = build(scratch, points, shape.most // width + 1)
+
+    asking = owners.join(rows.where("asks").select("id").distinct(), "id", "left_semi").select("id", "node")
     asking = scratch.keep(asking, "asking")
     sources = nodes.join(asking.select("node").distinct(), "node", "left_semi")
-    queries = sources.select("node", "vector").mapInArrow(_as_queries, "query long, x binary").withColumn("own", F.col("query"))
+    queries = sources.select("node", "vector").mapInArrow(_as_queries(kind), "query long, x binary").withColumn("own", F.col("query"))
     found = search(scratch, graph, points, scratch.keep(queries, "queries"), k + 1)
     low = F.col("sim") - F.col("error")
     found = found.withColumn("r", _rank("query", F.desc("sim"), F.col("node"))).withColumn("low", F.when(_rank("query", low.desc()) == k + 1, low))
@@ -573,7 +596,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
 
     original = nodes.select("node", "vector")
     pairs = found.select("query", "node").join(original.withColumnRenamed("vector", "vn"), "node").join(original.select(F.col("node").alias("query"), F.col("vector").alias("vq")), "query")
-    exact = pairs.select("query", "node", "vq", "vn").mapInArrow(_exact, "query long, node long, score double")
+    exact = pairs.select("query", "node", "vq", "vn").mapInArrow(_exact(kind), "query long, node long, score double")
     # A vertex' least id is its number, so the k + 1 best rows are among the rows of the k + 1 best vertices.
     best = exact.withColumn("r", _rank("query", F.desc("score"), F.col("node"))).where(F.col("r") <= k + 1).drop("r")
     ranked = best.join(members, "node").withColumn("r", _rank("query", F.desc("score"), F.col("id"))).where(F.col("r") <= k + 1)
