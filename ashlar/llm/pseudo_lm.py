@@ -47,8 +47,10 @@ MIN_SHARE = 1 / 500_000
 MARKS = ".,;:!?\"'()[]{}<>«»„“”‘’…#&%$*|-–—_/\\"
 #: Tokens that are scored at once.
 CHUNK = 65_536
-#: Rows of a matrix of classes.
-ROWS = 4096
+#: Rows of a matrix of classes, so few that it stays in a core's cache.
+ROWS = 1024
+#: Below it, neither a number's exponential nor a sum of them leaves the range of floats, so nothing need be taken off before.
+SAFE = 60.0
 #: Windows of a step over all documents, tasks that go over them, and numbers in a row of what a task has changed.
 WHOLE_BATCH, TRAINERS, PART = 8192, 64, 16_384
 
@@ -143,17 +145,24 @@ def windows(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[own - 2], padded[own - 1], padded[own + 1], padded[own + 2], padded[own]], axis=1)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _safe(weights: np.ndarray, bias: np.ndarray, axis: int) -> bool:
+    """Whether what comes out for hidden values, which are between -1 and 1, is below SAFE."""
+    return bool((np.abs(weights).sum(axis=axis) + np.abs(bias)).max(initial=0.0) < SAFE)
+
+
+def _softmax(z: np.ndarray, safe: bool) -> np.ndarray:
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (1 / z.sum(axis=1))[:, None]
     return z
 
 
-def _picked(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+def _picked(z: np.ndarray, column: np.ndarray, safe: bool) -> np.ndarray:
     """The logarithm of the softmax at one column of each row."""
-    most = z.max(axis=1)
-    picked = z[np.arange(len(z)), column] - most
-    z -= most[:, None]
+    if not safe:
+        z -= z.max(axis=1)[:, None]
+    picked = z[np.arange(len(z)), column]
     return picked - np.log(np.exp(z, out=z).sum(axis=1))
 
 
@@ -208,6 +217,7 @@ class Network:
     def log_prob(self, rows: np.ndarray) -> np.ndarray:
         """Of each window, the logarithm of its token's probability."""
         out = np.zeros(len(rows))
+        safe, safe_out = _safe(self.p["class"], self.p["class_bias"], 0), _safe(self.p["out"], self.p["out_bias"], 1)
         for k in range(0, len(rows), CHUNK):
             own = self.class_of[rows[k : k + CHUNK, 4]]
             order = np.argsort(own, kind="stable")
@@ -215,13 +225,13 @@ class Network:
             _, h = self.hidden(some)
             found = np.zeros(len(some), dtype=np.float32)
             for a in range(0, len(some), ROWS):
-                found[a : a + ROWS] = _picked(h[a : a + ROWS] @ self.p["class"] + self.p["class_bias"], own[a : a + ROWS])
+                found[a : a + ROWS] = _picked(h[a : a + ROWS] @ self.p["class"] + self.p["class_bias"], own[a : a + ROWS], safe)
             classes, at = np.unique(own, return_index=True)
             place = self.place[some[:, 4]] - self.starts[own]
             for c, a, b in zip(classes.tolist(), at.tolist(), [*at[1:].tolist(), len(own)], strict=True):
                 members = slice(int(self.starts[c]), int(self.starts[c + 1]))
                 if members.stop - members.start > 1:  # else it is certain
-                    found[a:b] += _picked(h[a:b] @ self.p["out"][members].T + self.p["out_bias"][members], place[a:b])
+                    found[a:b] += _picked(h[a:b] @ self.p["out"][members].T + self.p["out_bias"][members], place[a:b], safe_out)
             out[k + order] = found
         return out
 
@@ -235,19 +245,27 @@ class Network:
 
         x, h = self.hidden(rows)
         own, place = self.class_of[rows[:, 4]], self.place[rows[:, 4]]
-        dz = np.exp(_log_softmax(h @ p["class"] + p["class_bias"]))
-        dz[np.arange(n), own] -= 1
-        dz /= n
-        dh = dz @ p["class"].T
-        update("class", h.T @ dz)
-        update("class_bias", dz.sum(axis=0))
+        safe = _safe(p["class"], p["class_bias"], 0)
+        dh, to_class, to_bias = np.empty_like(h), np.zeros_like(p["class"]), np.zeros_like(p["class_bias"])
+        for a in range(0, n, ROWS):
+            some, mine = h[a : a + ROWS], own[a : a + ROWS]
+            dz = _softmax(some @ p["class"] + p["class_bias"], safe)
+            dz[np.arange(len(some)), mine] -= 1
+            dh[a : a + ROWS] = dz @ p["class"].T
+            to_class += some.T @ dz
+            to_bias += dz.sum(axis=0)
+        update("class", to_class / n)
+        update("class_bias", to_bias / n)
         for at, members in self._by_class(own):
-            z = np.exp(_log_softmax(h[at] @ p["out"][members].T + p["out_bias"][members]))
+            weights, bias, some = p["out"][members], p["out_bias"][members], h[at]
+            if len(bias) == 1:  # it is certain
+                continue
+            z = _softmax(some @ weights.T + bias, False)
             z[np.arange(len(at)), place[at] - members.start] -= 1
-            z /= n
-            dh[at] += z @ p["out"][members]
-            update("out", z.T @ h[at], members)
-            update("out_bias", z.sum(axis=0), members)
+            dh[at] += z @ weights
+            update("out", z.T @ some / n, members)
+            update("out_bias", z.sum(axis=0) / n, members)
+        dh /= n
         dh *= 1 - h * h
         dx = (dh @ p["w"].T).reshape(4 * n, -1)
         update("w", x.T @ dh)

@@ -4,6 +4,7 @@ import ipaddress
 import random
 import re
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -166,6 +167,24 @@ def test_gradients():
         assert abs(up - down) / 2e-4 == pytest.approx(grad[at], rel=0.02), name
 
 
+def test_steps_in_blocks():
+    """A step over many windows makes no matrix of all of them and all classes; large outputs don't leave the range of floats."""
+    rng, counts = np.random.default_rng(2), np.full(40_000, 3)
+    rows = rng.integers(1, 40_000, (32_768, 5)).astype(np.int32)
+    network = pseudo_lm.Network.start(counts, pseudo_lm.Settings())
+    square = {k: np.zeros_like(v) for k, v in network.p.items()}
+    network.step(rows[:100], square, 0.01)
+    tracemalloc.start()
+    network.step(rows, square, 0.01)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    for name in ("class", "out"):
+        network.p[name] *= 1e5
+    network.step(rows[:3000], square, 0.01)
+    assert all(np.isfinite(v).all() for v in network.p.values()) and np.isfinite(network.log_prob(rows[:3000])).all()
+
+
 def test_pseudo_likelihood(spark):
     docs = documents(spark, (1, None), (2, "  "), (None, " a\tb\n"), (3, "x"), (3, "x"), (4, "z" * 5000))
     rows = {(r.doc_id, r.n_tokens): r for r in pseudo_lm.pseudo_likelihood(docs, pseudo_lm.Settings(passes=1)).collect()}
