@@ -230,6 +230,45 @@ def test_every_window_trains(spark):
     assert model.score(texts)[1].mean() > 0.97 * by_counts
 
 
+def test_steps_along_texts():
+    """A step over runs of the texts changes what one over all their windows does, and texts' sums are those of their windows."""
+    rng, at = np.random.default_rng(3), np.array([0, 0, 150, 151, 400])
+    tokens = rng.integers(1, 60, 400).astype(np.int32)
+    changed = []
+    for along in (False, True):
+        network = pseudo_lm.Network.start(np.bincount(tokens, minlength=60), pseudo_lm.Settings())
+        for name, x in network.p.items():
+            network.p[name] = x + 0.3 * np.random.default_rng(4).standard_normal(x.shape)
+        square = {k: np.zeros_like(v) for k, v in network.p.items()}
+        if along:
+            network.step_along(pseudo_lm.runs(tokens, at), square, 0.1)
+        else:
+            network.step(pseudo_lm.windows(tokens, at), square, 0.1)
+        changed.append((network.p, square))
+    for name, x in changed[0][0].items():
+        assert np.allclose(x, changed[1][0][name], atol=1e-4) and np.allclose(changed[0][1][name], changed[1][1][name]), name
+    each = network.log_prob(pseudo_lm.windows(tokens, at))
+    assert network.log_probs(tokens, at) == pytest.approx([each[a:b].sum() for a, b in zip(at, at[1:], strict=False)], rel=1e-5)
+    assert len(network.log_probs(tokens[:0], at[:1])) == 0 and not pseudo_lm.runs(tokens[:0], at[:1]).size
+
+
+def test_texts_are_read_twice(spark):
+    """Texts are read to count their words and to make them tokens; training and scoring go on from the tokens, with the same scores."""
+    read = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        read.add(1)
+        return " ".join(f"w{(7 * k + i * i) % 90}" for i in range(40)) + f" Rare{k}!"
+
+    made = F.udf(text, "string").asNondeterministic()
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), made("id").alias("text"))
+    settings = pseudo_lm.Settings(windows=200, passes=1)
+    got = {r.doc_id: r for r in pseudo_lm.pseudo_likelihood(docs, settings).collect()}
+    assert read.value == 120 and len(got) == 60
+    for r in pseudo_lm.score(docs, pseudo_lm.learn(docs, settings)).collect():
+        assert r.n_tokens == got[r.doc_id].n_tokens and r.log_prob == pytest.approx(got[r.doc_id].log_prob, rel=1e-3)
+
+
 MAKE = pii.Surrogates("k")
 
 
